@@ -93,16 +93,20 @@ def clamp01(x) -> Column:
 
 
 def compact_number(v: Column) -> Column:
-    """Three significant digits for large or tiny values, else two decimals, stripped."""
-    sci = F.format_string("%.2e", v)
+    """Three significant digits for large or tiny values, else two decimals, stripped.
+
+    Halves go to the even digit, as in C formatting."""
+    large = v
+    for exp in range(3, 13):
+        large = F.when((v >= 10.0**exp) & (v < 10.0 ** (exp + 1)), F.bround(v, 2 - exp)).otherwise(large)
+    sci = F.format_string("%.2e", large)
     exp = F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int")
     strip = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    mantissa = F.regexp_replace(sci, r"e.*$", "")
-    sci_text = F.concat(strip(mantissa), F.regexp_replace(sci, r"^[^e]*", ""))
+    sci_text = F.concat(strip(F.regexp_replace(sci, r"e.*$", "")), F.regexp_replace(sci, r"^[^e]*", ""))
     short = F.when((exp < -4) | (exp >= 3), sci_text).when(
         exp == -4, strip(F.format_string("%.6f", v))
     ).otherwise(strip(F.format_string("%.5f", v)))
-    plain = strip(F.format_string("%.2f", v))
+    plain = strip(F.format_string("%.2f", F.bround(v, 2)))
     return F.when((v >= 1000) | ((v != 0) & (F.abs(v) < 0.01)), short).otherwise(plain)
 
 

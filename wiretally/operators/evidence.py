@@ -72,12 +72,16 @@ def summary(subject_id: Column, corroborating_classes: Column) -> Column:
     return F.substring(F.concat(text, more), 1, 4096)
 
 
+def entries_to_map(entries: Column) -> Column:
+    return F.map_from_entries(F.filter(entries, lambda x: x["k"].isNotNull()))
+
+
 def lineage(own_version: Column, own_model: Column, others: Column, run_id: str | None) -> Column:
     """Versions of everything that took part. `others` holds (detector, version, model)."""
     own = F.struct(F.col("detector_name").alias("d"), own_version.alias("v"), own_model.alias("m"))
     every = F.concat(F.array(own), F.coalesce(others, F.array().cast("array<struct<d:string,v:string,m:string>>")))
-    versions = F.map_from_entries(F.transform(every, lambda x: F.struct(x["d"].alias("k"), x["v"].alias("v"))))
-    models = F.map_from_entries(
+    versions = entries_to_map(F.transform(every, lambda x: F.struct(x["d"].alias("k"), x["v"].alias("v"))))
+    models = entries_to_map(
         F.transform(F.filter(every, lambda x: x["m"].isNotNull()), lambda x: F.struct(x["d"].alias("k"), x["m"].alias("v")))
     )
     return F.struct(

@@ -177,7 +177,7 @@ def fuse(results: DataFrame, params: Params = DEFAULT, run_id: str | None = None
             merged(F.col("reason_codes"), F.col("other_codes"), 64).alias("reason_codes"),
             evidence.observations(support).alias("observations"),
             evidence.comparisons(support).alias("baseline_comparisons"),
-            F.map_from_entries(F.concat(
+            evidence.entries_to_map(F.concat(
                 F.array(F.struct(F.col("detector_name").alias("k"), F.col("confidence").alias("v"))),
                 F.coalesce("contrib", F.array().cast("array<struct<k:string,v:double>>")),
             )).alias("detector_contributions"),

@@ -10,6 +10,7 @@ from wiretally.operators import features as ft
 from wiretally.operators.detectors import DETECTORS, detect, needed_features
 from wiretally.operators.fusion import Fused, fuse
 from wiretally.params import DEFAULT, Params
+from wiretally.sources.storage import materialise
 
 
 def tune(spark: SparkSession) -> None:
@@ -29,9 +30,10 @@ class Detection:
 def run_detection(
     flows: DataFrame, params: Params = DEFAULT, champions=None, challengers=None,
     flow_ids: bool = True, detectors=DETECTORS, run_id: str | None = None, flush_ts: int | None = None,
-    reads_hook=None,
+    materialised: bool = True,
 ) -> Detection:
-    """`reads_hook` may materialise the feature reads (checkpoint or table) before detection."""
+    """`materialised` writes the detector results once to the shared folder: fusion reads them
+    several times, and they are the table the store keeps anyway."""
     tune(flows.sparkSession)
     names = needed_features(detectors)
     protocol = any(d.source != "windowed" for d in detectors)
@@ -39,7 +41,7 @@ def run_detection(
         flows, params, names, protocol=protocol, extras=("flow_ids",) if flow_ids else (),
         flush_ts=flush_ts, dns_sizes=(60,),
     )
-    if reads_hook:
-        reads = reads_hook(reads)
     results = detect(reads, params, detectors, champions, challengers)
+    if materialised:
+        results = materialise(results, "results")
     return Detection(reads, results, fuse(results, params, run_id))
