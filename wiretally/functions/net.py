@@ -27,35 +27,40 @@ def v4_number(x: Column) -> Column:
     return F.when(is_v4(x), n)
 
 
+def bind(value: Column, fn) -> Column:
+    """Evaluate `value` once and hand it to `fn`, however often `fn` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _spelled_tail(low: Column) -> Column:
+    """A dotted IPv4 tail rewritten as two hex groups."""
+    def rewrite(tail):
+        num = v4_number(tail)
+        hi, lo = F.lower(F.hex(F.shiftright(num, 16))), F.lower(F.hex(num.bitwiseAND(F.lit(65535))))
+        head = F.substring(low, F.lit(1), F.length(low) - F.length(tail))
+        return F.when(tail == "", low).otherwise(F.concat(head, hi, F.lit(":"), lo))
+
+    return bind(F.regexp_extract(low, r"(\d+\.\d+\.\d+\.\d+)$", 1), rewrite)
+
+
 def _v6_groups(x: Column) -> Column:
-    """Eight zero-padded groups of an IPv6 text, or null."""
-    low = F.lower(x)
-    # a dotted tail is two groups
-    tail = F.regexp_extract(low, r"(\d+\.\d+\.\d+\.\d+)$", 1)
-    num = v4_number(tail)
-    hi = F.lower(F.hex(F.shiftright(num, 16)))
-    lo = F.lower(F.hex(num.bitwiseAND(F.lit(65535))))
-    low = F.when(tail == "", low).otherwise(
-        F.concat(F.substring(low, F.lit(1), F.length(low) - F.length(tail)), hi, F.lit(":"), lo)
-    )
-    gap = low.contains("::")
-    left = F.filter(F.split(F.substring_index(low, "::", 1), ":"), lambda g: g != "")
-    right = F.when(gap, F.filter(F.split(F.substring_index(low, "::", -1), ":"), lambda g: g != "")).otherwise(
-        F.array().cast("array<string>")
-    )
-    missing = F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))
-    groups = F.when(gap, F.concat(left, F.array_repeat(F.lit("0"), missing), right)).otherwise(left)
-    single_gap = F.length(low) - F.length(F.replace(low, F.lit("::"), F.lit(""))) <= 2
-    ok = (
-        (F.size(groups) == 8)
-        & (~gap | (missing >= 1))
-        & single_gap
-        & ~low.contains(":::")
-        & (low.startswith("::") | ~low.startswith(":"))
-        & (low.endswith("::") | ~low.endswith(":"))
-        & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    )
-    return F.when(ok & x.contains(":"), groups)
+    """Eight groups of an IPv6 text, or null."""
+    parts = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
+
+    def groups(low):
+        gap = low.contains("::")
+        none = F.array().cast("array<string>")
+        left, right = parts(F.substring_index(low, "::", 1)), F.when(gap, parts(F.substring_index(low, "::", -1))).otherwise(none)
+        fill = lambda s: F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(s["l"]) - F.size(s["r"])))
+        full = bind(F.struct(left.alias("l"), right.alias("r")), lambda s: F.when(gap, F.concat(s["l"], fill(s), s["r"])).otherwise(s["l"]))
+        shape = (
+            ~low.rlike(":::|::.*::") & (low.startswith("::") | ~low.startswith(":")) & (low.endswith("::") | ~low.endswith(":"))
+        )
+        return bind(full, lambda g: F.when(
+            shape & (F.size(g) == 8) & F.forall(g, lambda e: e.rlike("^[0-9a-f]{1,4}$")), g
+        ))
+
+    return F.when(x.contains(":"), bind(_spelled_tail(F.lower(x)), groups))
 
 
 def v6_hex(x: Column) -> Column:
@@ -65,14 +70,16 @@ def v6_hex(x: Column) -> Column:
 
 def canonical_v6(x: Column) -> Column:
     """Shortest form: no leading zeros, the longest (first) run of zero groups as `::`."""
-    plain = F.array_join(
-        F.transform(_v6_groups(x), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":"
-    )
-    out = plain
-    for n in range(2, 9):
-        pattern = r"(^|:)0(:0){%d}(:|$)" % (n - 1)
-        out = F.when(plain.rlike(pattern), F.regexp_replace(plain, pattern + "(.*)$", "::$4")).otherwise(out)
-    return out
+    plain = F.array_join(F.transform(_v6_groups(x), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+    def shorten(text):
+        out = text
+        for n in range(2, 9):
+            pattern = r"(^|:)0(:0){%d}(:|$)" % (n - 1)
+            out = F.when(text.rlike(pattern), F.regexp_replace(text, pattern + "(.*)$", "::$4")).otherwise(out)
+        return out
+
+    return bind(plain, shorten)
 
 
 def canonical_ip(x: Column) -> Column:

@@ -4,7 +4,7 @@ import importlib
 
 from wiretally.plans.catalog.registry import QUERIES
 
-_AREAS = ("windows", "columns", "verdicts", "records", "stored")
+_AREAS = ("windows", "columns", "verdicts", "records", "stored", "learning", "live")
 
 for _a in _AREAS:
     importlib.import_module(f"wiretally.plans.catalog.{_a}")

@@ -104,10 +104,10 @@ def incident_detail(spark, sf):
     return inc.join(a.withColumn("incident_id", F.col("src_ip")), "incident_id").select("incident_id", "alert_count", "last_seen_us", "alert_id", "severity")
 
 
-@query("S9 W18", """SELECT user_id AS event_key, count(*) > 0 AS present FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY user_id""")
+@query("S9 W18", """SELECT user_id AS event_key, count(*) > 0 AS present FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 250) GROUP BY user_id""")
 def insert_or_ignore(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("event_key"), "event_type")
-    old = e.filter("event_type = 'signup'").select("event_key")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("event_key"), "value")
+    old = e.filter("value > 250").select("event_key")
     return tables.insert_or_ignore(e.select("event_key"), old, "event_key").withColumn("present", F.lit(True))
 
 

@@ -342,9 +342,9 @@ def incidents(spark, sf):
 
 @query("X8 X9 X10 F20 U4 U7", "WITH " + results_sql() + """, ev AS (
  SELECT a.alert_id, b.det, b.ts_us AS bts, b.rk, 'CODE_' || CAST(b.kk % 4 AS VARCHAR) AS code FROM alerts a JOIN rs b ON a.src_ip = b.src_ip AND b.ts_us <= a.ts_us AND b.ts_us >= a.ts_us - 300000000 AND b.det <> a.det),
-evc AS (SELECT alert_id, upper(det) || ':' || code AS c, min(bts) AS at FROM ev GROUP BY ALL),
-evl AS (SELECT alert_id, string_agg(c, ',' ORDER BY at) AS codes FROM evc GROUP BY alert_id)
-SELECT a.alert_id, concat_ws(',', 'CODE_' || CAST(kk % 4 AS VARCHAR), evl.codes) AS codes, CAST(kk AS DOUBLE) AS observed, 10.0::DOUBLE AS threshold,
+evc AS (SELECT alert_id, upper(det) || ':' || code AS c, min(bts) AS first_at FROM ev GROUP BY ALL),
+evl AS (SELECT alert_id, string_agg(c, ',' ORDER BY first_at) AS codes FROM evc GROUP BY alert_id)
+SELECT a.alert_id, concat_ws(',', 'CODE_' || CAST(kk % 4 AS VARCHAR), evl.codes) AS codes, CAST(kk AS DOUBLE) AS observed, CAST(10.0 AS DOUBLE) AS threshold,
 CASE cls WHEN 'DDOS' THEN 'Flood toward ' WHEN 'RECON' THEN 'Scanning from ' WHEN 'C2_BEACON' THEN 'Periodic beaconing ' WHEN 'DNS_TUNNEL' THEN 'DNS tunnelling from ' ELSE 'Outbound data transfer from ' END
  || src_ip || ': score=' || CAST(kk AS VARCHAR) || CASE WHEN len(other_classes) > 0 THEN ' (corroborated by ' || array_to_string(other_classes, ', ') || ')' ELSE '' END AS summary
 FROM alerts a LEFT JOIN evl USING (alert_id)""")

@@ -13,7 +13,11 @@ BASE_US = 1704067200000000  # 2024-01-01T00:00Z
 
 
 def read_flows(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return map_events(spark.read.parquet(f"{sf_dir}/events.parquet"), coarse)
+
+
+def map_events(e: DataFrame, coarse: bool = False) -> DataFrame:
+    """The mapping itself; works on a batch or a stream of events."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     e = e.select(
         "event_id", "user_id", "event_type", "value",

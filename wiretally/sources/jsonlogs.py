@@ -14,7 +14,8 @@ def parse_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Dat
     """(records, bad): blank and `#` lines and non-object JSON are skipped, bad JSON is kept."""
     text = F.trim(F.col(column))
     used = lines.withColumn("_line", text).filter((F.col("_line") != "") & ~F.col("_line").startswith("#"))
-    parsed = F.try_parse_json("_line").isNotNull()
+    whole = ~F.col("_line").startswith("{") | F.col("_line").endswith("}")
+    parsed = F.try_parse_json("_line").isNotNull() & whole
     bad = used.filter(~parsed).select(F.col("_line").alias("raw"), F.lit("bad_json").alias("reason"))
     schema = T.StructType([T.StructField(a, T.StringType()) for a in all_aliases()])
     records = used.filter(parsed & F.col("_line").startswith("{")).select(
@@ -32,11 +33,11 @@ def read_lines(spark: SparkSession, path: str, tag_capture: bool = False) -> tup
 
 def merge_by_uid(protocol: list[DataFrame], key: str = "uid") -> DataFrame:
     """Later logs win field by field: the last non-null value per uid, in source order."""
-    cols = [c for c in protocol[0].columns if c != key]
     both = None
     for i, df in enumerate(protocol):
         part = df.withColumn("_src", F.lit(i))
         both = part if both is None else both.unionByName(part, allowMissingColumns=True)
+    cols = [c for c in both.columns if c not in (key, "_src")]
     position = F.struct("_src", "_pos") if "_pos" in both.columns else F.col("_src")
     last = [F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), position)).alias(c) for c in cols if c != "_pos"]
     return both.filter(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(*last)
