@@ -42,7 +42,7 @@ def psi(ref: DataFrame, cur: DataFrame, bins: int = 10, by: str = "feature", ope
     bin_no = F.when(last, k - 1).otherwise(at)
     if open_ends:
         bin_no = F.greatest(F.lit(1), F.least(k - 1, bin_no))
-    placed = counts.join(meta, by).withColumn("bin", bin_no)
+    placed = counts.join(F.broadcast(meta), by).withColumn("bin", bin_no)
     inside = placed.filter((F.col("bin") >= 1) & (F.col("bin") <= k - 1) & (k >= 3)).groupBy(by, "bin", "edges").agg(
         F.sum("r").alias("r"), F.sum("c").alias("c")
     )

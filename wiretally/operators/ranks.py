@@ -10,26 +10,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 128
+COARSE = 16
+RANGES = COARSE * COARSE
 
 
 def cumulative(counts: DataFrame, by: list[str], value: str = "value", totals: tuple[str, ...] = ("r", "c")) -> DataFrame:
     """Adds `cum_<t>` (running total up to and including the value) and `all_<t>` per group.
 
-    `counts` has one row per (by, value)."""
+    `counts` has one row per (by, value); groups are feature or detector names, so the table of
+    cut points (one row per group) is small enough to broadcast. The range of a value is found in
+    two steps of 16 instead of a walk over all cuts."""
     probs = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    grid = counts.groupBy(*by).agg(
-        F.percentile_approx(value, probs, 1000).alias("_grid"), *[F.sum(t).alias(f"all_{t}") for t in totals]
+    cuts = counts.groupBy(*by).agg(
+        F.percentile_approx(value, probs, 2000).alias("_g"), *[F.sum(t).alias(f"all_{t}") for t in totals]
     )
-    j = counts.join(grid, by).withColumn(
-        "_b", F.size(F.filter("_grid", lambda g: g < F.col(value)))
-    ).drop("_grid")
+    grid = cuts.select(
+        *by, *[f"all_{t}" for t in totals],
+        F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.element_at("_g", i * COARSE)).alias("_coarse"),
+        F.transform(F.sequence(F.lit(0), F.lit(COARSE - 1)), lambda i: F.slice("_g", i * COARSE + 1, COARSE - 1)).alias("_fine"),
+    )
+    below = lambda edges: F.size(F.filter(edges, lambda g: g < F.col(value)))
+    j = counts.join(F.broadcast(grid), by).withColumn("_c", below(F.col("_coarse")))
+    j = j.withColumn("_b", F.col("_c") * COARSE + below(F.element_at("_fine", F.col("_c") + 1))).drop("_coarse", "_fine", "_c")
     order = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = j.groupBy(*by, "_b").agg(*[F.sum(t).alias(f"_s_{t}") for t in totals])
     per = per.select(*by, "_b", *[F.coalesce(F.sum(f"_s_{t}").over(order), F.lit(0)).alias(f"_p_{t}") for t in totals])
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     local = j.withColumns({f"cum_{t}": F.sum(t).over(inside) for t in totals})
-    out = local.join(per, [*by, "_b"])
+    out = local.join(F.broadcast(per), [*by, "_b"])  # at most 256 rows per group
     return out.withColumns({f"cum_{t}": F.col(f"cum_{t}") + F.col(f"_p_{t}") for t in totals}).drop(
         "_b", *[f"_p_{t}" for t in totals]
     )

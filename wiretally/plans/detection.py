@@ -32,8 +32,8 @@ def run_detection(
     flow_ids: bool = True, detectors=DETECTORS, run_id: str | None = None, flush_ts: int | None = None,
     materialised: bool = True,
 ) -> Detection:
-    """`materialised` writes the detector results once to the shared folder: fusion reads them
-    several times, and they are the table the store keeps anyway."""
+    """`materialised` writes features and detector results once to the shared folder: detectors
+    and fusion read them several times, and both are tables the store keeps anyway."""
     tune(flows.sparkSession)
     names = needed_features(detectors)
     protocol = any(d.source != "windowed" for d in detectors)
@@ -41,6 +41,8 @@ def run_detection(
         flows, params, names, protocol=protocol, extras=("flow_ids",) if flow_ids else (),
         flush_ts=flush_ts, dns_sizes=(60,),
     )
+    if materialised:
+        reads = materialise(reads, "features")
     results = detect(reads, params, detectors, champions, challengers)
     if materialised:
         results = materialise(results, "results")
