@@ -77,7 +77,6 @@ class Params:
     ewma_alpha: float = 0.05
     baseline_min_observations: int = 30
     baseline_reservoir: int = 256
-    baseline_block: int = 512
     # fusion
     correlation_window: int = 300
     dedup_window: int = 60
