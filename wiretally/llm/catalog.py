@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import contamination, language, mixing, simhash, surrogates
+from wiretally.llm import contamination, cotraining, language, mixing, quality, repeats, secrets, simhash, surrogates, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,7 +43,35 @@ def op4_surrogates(spark, sf):
     return surrogates.replace(_read(spark, sf)).select("doc_id", "text", "n_entities")
 
 
+@query
+def op5_repeats(spark, sf):
+    return repeats.remove_repeats(_read(spark, sf)).drop("kept")
+
+
+@query
+def op6_tokens(spark, sf):
+    import public_tokenizers
+
+    rows = tokens.count_tokens(_read(spark, sf).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query
+def op7_cotraining(spark, sf):
+    return cotraining.classify(_read(spark, sf), _read(spark, sf, "labels"))
+
+
+@query
+def op8_secrets(spark, sf):
+    return secrets.digest(secrets.scan(_read(spark, sf)))
+
+
 @query
 def op9_contamination(spark, sf):
     found = contamination.containment(_read(spark, sf), _read(spark, sf, "benchmark"))
     return found.select("doc_id", "item_id", "item_shingles", "found", "containment")
+
+
+@query
+def op10_quality(spark, sf):
+    return quality.judge(_read(spark, sf))

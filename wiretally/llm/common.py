@@ -52,3 +52,23 @@ def flat(batch: pa.RecordBatch, column: str = "text"):
     data = col.buffers()[2]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
     return whole[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+MAP_BITS = 22
+
+
+def _slot(hashed: Column) -> tuple[Column, Column]:
+    at = hashed.bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    return F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+
+
+def only_with(df: DataFrame, wanted: DataFrame, keys: list[str], negate: bool = False) -> DataFrame:
+    """Rows of `df` whose `keys` may be among those of `wanted`; with `negate`, those that are surely
+    not. A map of 2**MAP_BITS bits is broadcast, 65,536 words at most whatever the tables hold: rows
+    that a join would drop are mostly dropped before they are shuffled."""
+    w, b = _slot(F.xxhash64(*keys))
+    words = wanted.select(w.alias("_w"), F.expr("1").alias("_one"), b.alias("_b")).groupBy("_w").agg(
+        F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_bits"))
+    tested = df.withColumns({"_w0": w, "_b0": b}).join(F.broadcast(words), F.col("_w0") == F.col("_w"), "left")
+    hit = F.coalesce(F.expr("(shiftrightunsigned(_bits, _b0) & 1L) = 1L"), F.lit(False))
+    return tested.filter(~hit if negate else hit).select(*df.columns)
