@@ -71,6 +71,7 @@ def measures(text: str = "text") -> list[dict[str, Column]]:
     places = F.sort_array(F.when(F.size(v) > 0, F.transform(again, lambda y: y.getField("i"))).otherwise(F.transform(t, place)))
     q = F.col("_p")
     covered = F.aggregate(F.transform(q, lambda y, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(q, i + 1) - y, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b)
+    count = lambda pattern: F.regexp_count(x, F.lit(pattern)).cast("long")
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     long = lambda c: c.cast("long")
     return [
