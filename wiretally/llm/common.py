@@ -1,4 +1,6 @@
-"""Helpers of the corpus operators: written intermediates, Arrow text batches, row identity."""
+"""Helpers of the corpus operators: written intermediates, Arrow text batches, row identity.
+
+Columns that operators add to a caller's rows for a while start with `__llm_`, a reserved prefix."""
 
 from __future__ import annotations
 
@@ -67,8 +69,8 @@ def only_with(df: DataFrame, wanted: DataFrame, keys: list[str], negate: bool =
     not. A map of 2**MAP_BITS bits is broadcast, 65,536 words at most whatever the tables hold: rows
     that a join would drop are mostly dropped before they are shuffled."""
     w, b = _slot(F.xxhash64(*keys))
-    words = wanted.select(w.alias("_w"), F.expr("1").alias("_one"), b.alias("_b")).groupBy("_w").agg(
-        F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_bits"))
-    tested = df.withColumns({"_w0": w, "_b0": b}).join(F.broadcast(words), F.col("_w0") == F.col("_w"), "left")
-    hit = F.coalesce(F.expr("(shiftrightunsigned(_bits, _b0) & 1L) = 1L"), F.lit(False))
+    words = wanted.select(w.alias("__llm_w"), F.expr("1").alias("_one"), b.alias("_b")).groupBy("__llm_w").agg(
+        F.bit_or(F.expr("shiftleft(1L, _b)")).alias("__llm_bits"))
+    tested = df.withColumns({"__llm_w0": w, "__llm_b0": b}).join(F.broadcast(words), F.col("__llm_w0") == F.col("__llm_w"), "left")
+    hit = F.coalesce(F.expr("(shiftrightunsigned(__llm_bits, __llm_b0) & 1L) = 1L"), F.lit(False))
     return tested.filter(~hit if negate else hit).select(*df.columns)

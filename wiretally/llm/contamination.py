@@ -145,6 +145,6 @@ def containment(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: fl
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """Documents that hold no item; all columns and repeated rows stay."""
-    bad = containment(docs, items, width, least).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k")).distinct()
-    keyed = docs.withColumn("_key", text_key())
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_anti").drop("_key")
+    bad = containment(docs, items, width, least).select(F.col("doc_id").alias("__llm_id"), F.col("key").alias("__llm_k")).distinct()
+    keyed = docs.withColumn("__llm_key", text_key())
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_key") == F.col("__llm_k")), "left_anti").drop("__llm_key")

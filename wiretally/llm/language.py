@@ -162,6 +162,6 @@ def identify(docs: DataFrame, dim: int = DIM) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.05) -> DataFrame:
     """Documents whose language is told: lettered, with a cosine of at least `least`. All columns stay."""
     model = train(docs.select("text", "lang", held_out().alias("_h")).filter(~F.col("_h")))
-    told = predict(docs.withColumnRenamed("lang_pred", "_lang_pred").withColumnRenamed("score", "_score"), model)
+    told = predict(docs.withColumnRenamed("lang_pred", "__llm_lang_pred").withColumnRenamed("score", "__llm_score"), model)
     kept = told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
-    return kept.withColumnRenamed("_lang_pred", "lang_pred").withColumnRenamed("_score", "score")
+    return kept.withColumnRenamed("__llm_lang_pred", "lang_pred").withColumnRenamed("__llm_score", "score")

@@ -126,7 +126,7 @@ def mix(docs: DataFrame, weigh=cycling, most: int = MOST, seed: int = SEED, size
 def take_mix(docs: DataFrame, weigh=cycling, most: int = MOST, seed: int = SEED) -> DataFrame:
     """Documents with at least one copy, all their columns and `copies` (how often to read them)."""
     picked = mix(docs, weigh, most, seed).filter("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("source").alias("_src"), F.col("copies").alias("_copies")).distinct()
-    keyed = docs.withColumn("_key", text_key())
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_src"))
-    return keyed.join(picked, on).select(*[F.col(c) for c in docs.columns if c != "copies"], F.col("_copies").alias("copies"))
+        F.col("doc_id").alias("__llm_id"), F.col("key").alias("__llm_k"), F.col("source").alias("__llm_src"), F.col("copies").alias("__llm_copies")).distinct()
+    keyed = docs.withColumn("__llm_key", text_key())
+    on = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_key") == F.col("__llm_k")) & F.col("source").eqNullSafe(F.col("__llm_src"))
+    return keyed.join(picked, on).select(*[F.col(c) for c in docs.columns if c != "copies"], F.col("__llm_copies").alias("copies"))

@@ -194,7 +194,7 @@ def keep_one(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame
     that repeat it the least text hash; of equal rows one."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")
     firsts = _members(docs, width, radius).groupBy("root").agg(F.min(order).alias("r")).select(
-        F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_k"))
-    keyed = docs.withColumn("_key", text_key())
-    kept = keyed.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
+        F.col("r.doc_id").alias("__llm_id"), F.col("r.key").alias("__llm_k"))
+    keyed = docs.withColumn("__llm_key", text_key())
+    kept = keyed.join(firsts, F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_key") == F.col("__llm_k")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__llm_key"]).drop("__llm_key")

@@ -40,8 +40,8 @@ SYLLABLES = {
     "cyrillic": ("ба", "ва", "го", "да", "же", "за", "ки", "ле", "мо", "на", "по", "ро", "са", "те", "фо", "хи"),
     "greek": ("βα", "γα", "δε", "ζο", "θι", "κα", "λε", "μο", "να", "ξε", "πο", "ρα", "σο", "τε", "φι", "χα"),
 }
-ENDINGS = {("latin", "male"): "ron", ("latin", "female"): "lia", ("cyrillic", "male"): "ров", ("cyrillic", "female"): "рова",
-           ("greek", "male"): "νος", ("greek", "female"): "νου"}
+ENDINGS = {("latin", "male"): "n", ("latin", "female"): "a", ("cyrillic", "male"): "в", ("cyrillic", "female"): "ва",
+           ("greek", "male"): "ς", ("greek", "female"): "η"}
 # -----------------------------------------------------------------------------------
 TITLE = rf"^((?:{MALE}|{FEMALE})\.? )"
 
@@ -116,7 +116,7 @@ def draw(k: Column, c: Column, attempt: Column, key: str) -> Column:
         parts = F.array(*[F.lit(x) for x in SYLLABLES[s]])
         pick = lambda i: F.element_at(parts, (_byte(h, i) % 16 + 1).cast("int"))
         words = F.transform(F.split(F.substring_index(c, ":", -1), " "), lambda w, j: F.concat(
-            *[F.element_at(parts, (_byte(h, j * 4 + i) % 16 + 1).cast("int")) for i in range(3)], F.when(j > 0, F.lit(ENDINGS[s, g])).otherwise(F.lit(ENDINGS[s, g][0]))))
+            *[F.element_at(parts, (_byte(h, j * 4 + i) % 16 + 1).cast("int")) for i in range(3)], F.lit(ENDINGS[s, g])))
         return F.concat(F.array_join(words, " "), F.when(attempt > 6, pick(20)).otherwise(""), F.when(attempt > 12, pick(21)).otherwise(""))
 
     name = F.lit(None).cast("string")
@@ -177,31 +177,31 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     columns and repeated rows stay; equal rows are replaced alike. `key` must be kept secret."""
     docs = docs.drop("n_entities")
     found = F.coalesce(F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1)), F.array().cast("array<string>"))
-    holders = docs.select("doc_id", text_key(text).alias("_key"), F.explode(F.array_distinct(found)).alias("m"))
-    holders = holders.select("doc_id", "_key", kind(F.col("m")).alias("k"), canonical(F.col("m")).alias("c"))
+    holders = docs.select("doc_id", text_key(text).alias("__llm_key"), F.explode(F.array_distinct(found)).alias("m"))
+    holders = holders.select("doc_id", "__llm_key", kind(F.col("m")).alias("k"), canonical(F.col("m")).alias("c"))
     holders = written(holders, "mentions")
     other = written(attempts(holders.select("k", "c"), key), "attempts")
-    rows = docs.withColumn("_m", found)
+    rows = docs.withColumn("__llm_m", found)
     if other.isEmpty():  # no entity was drawn again
-        rows = rows.withColumn("_a", F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn("__llm_a", F.lit(None).cast("map<string,int>"))
     else:
-        per = holders.join(other, ["k", "c"]).select("doc_id", "_key", F.concat_ws("|", "k", "c").alias("e"), "a").distinct()
-        per = per.groupBy("doc_id", "_key").agg(F.map_from_entries(F.collect_list(F.struct("e", "a"))).alias("_a"))  # of one document
-        per = per.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_a")
-        on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
-        rows = rows.withColumn("_key", text_key(text)).join(per, on, "left").drop("_key", "_id", "_k")
+        per = holders.join(other, ["k", "c"]).select("doc_id", "__llm_key", F.concat_ws("|", "k", "c").alias("e"), "a").distinct()
+        per = per.groupBy("doc_id", "__llm_key").agg(F.map_from_entries(F.collect_list(F.struct("e", "a"))).alias("__llm_a"))  # of one document
+        per = per.select(F.col("doc_id").alias("__llm_id"), F.col("__llm_key").alias("__llm_k"), "__llm_a")
+        on = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_key") == F.col("__llm_k"))
+        rows = rows.withColumn("__llm_key", text_key(text)).join(per, on, "left").drop("__llm_key", "__llm_id", "__llm_k")
 
     def surrogate(m):
         k, c = kind(m), canonical(m)
-        a = F.coalesce(F.try_element_at(F.col("_a"), F.concat_ws("|", k, c)), F.lit(0))
+        a = F.coalesce(F.try_element_at(F.col("__llm_a"), F.concat_ws("|", k, c)), F.lit(0))
         return written_like(m, k, draw(k, c, a, key))
 
-    new = F.transform(F.col("_m"), surrogate)
+    new = F.transform(F.col("__llm_m"), surrogate)
     between = F.split(F.col(text), ENTITY, -1)
     joined = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return rows.select(
-        *[F.when(F.size("_m") > 0, joined).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.size("_m").cast("long").alias("n_entities"))
+        *[F.when(F.size("__llm_m") > 0, joined).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],
+        F.size("__llm_m").cast("long").alias("n_entities"))
 
 
 def clean(docs: DataFrame, key: str = KEY) -> DataFrame:
