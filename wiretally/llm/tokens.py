@@ -51,10 +51,11 @@ def classes() -> np.ndarray:
             later.append(c)
     out[32] = BLANK
     split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-    found = split.pre_tokenize_str("\n".join(f"a{chr(c)}1" for c in later))
-    begins = {span[0] for _, span in found}
-    for i, c in enumerate(later):  # a letter joins the letter before it, a number the number after it
-        out[c] = LETTER if 4 * i + 1 not in begins else NUMBER if 4 * i + 2 not in begins else OTHER
+    for lo in range(0, len(later), 4096):
+        block = later[lo: lo + 4096]
+        begins = {span[0] for _, span in split.pre_tokenize_str("\n".join(f"a{chr(c)}1" for c in block))}
+        for i, c in enumerate(block):  # a letter joins the letter before it, a number the number after it
+            out[c] = LETTER if 4 * i + 1 not in begins else NUMBER if 4 * i + 2 not in begins else OTHER
     return out
 
 
