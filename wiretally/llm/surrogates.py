@@ -46,6 +46,12 @@ ENDINGS = {("latin", "male"): "n", ("latin", "female"): "a", ("cyrillic", "male"
 TITLE = rf"^((?:{MALE}|{FEMALE})\.? )"
 
 
+def _let(body, **values: Column) -> Column:
+    """body(row) with `values` as fields of the row. A value that an expression needs often is made once
+    and named here: inlined, these expressions would grow beyond what a driver can plan."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), body), 0)
+
+
 def kind(m: Column) -> Column:
     digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
     return (
@@ -55,9 +61,8 @@ def kind(m: Column) -> Column:
     )
 
 
-def canonical(m: Column) -> Column:
-    """The form in which two spellings of an entity are equal."""
-    k = kind(m)
+def canonical(m: Column, k: Column) -> Column:
+    """The form in which two spellings of an entity of kind k are equal."""
     gender = F.when(m.rlike(rf"^(?:{FEMALE})\.? "), "female").otherwise("male")
     return (
         F.when(k == "email", F.lower(m)).when(k == "ip", m).when(k == "iban", F.replace(m, F.lit(" "), F.lit("")))
@@ -85,6 +90,12 @@ def _like(x: Column, h: Column, keep: int = 0) -> Column:
     return F.array_join(F.transform(F.filter(F.split(x, ""), lambda c: c != ""), one), "")
 
 
+def entities(found: Column) -> Column:
+    """Mentions as structs (m, k, c)."""
+    kinds = F.transform(found, lambda m: F.struct(m.alias("m"), kind(m).alias("k")))
+    return F.transform(kinds, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), canonical(x["m"], x["k"]).alias("c")))
+
+
 def _luhn(x: Column) -> Column:
     """Sum of the check over a string of digits, modulo 10; 0 is a right number."""
     n = F.length(x)
@@ -99,14 +110,18 @@ def _luhn(x: Column) -> Column:
 def draw(k: Column, c: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a canonical form in canonical form."""
     h = F.sha2(F.concat_ws("|", F.lit(key), k, attempt.cast("string"), c), 256)
+    first = lambda r: _let(_draw, k=r["k"], c=r["c"], a=r["a"], h=r["h"], b=_like(r["c"], r["h"], keep=1))
+    return _let(first, k=k, c=c, a=attempt, h=h)
+
+
+def _draw(r: Column) -> Column:
+    k, c, attempt, h, body = (r[n] for n in ("k", "c", "a", "h", "b"))
     longer = F.when(attempt > 6, F.substr(h, F.lit(1), F.least(attempt, F.lit(24)).cast("int"))).otherwise("")
     top = F.regexp_extract(c, r"\.[a-z]+$", 0)
     email = F.concat(_like(F.substr(c, F.lit(1), F.length(c) - F.length(top)), h), F.regexp_replace(longer, "[^a-f0-9]", ""), top)
     ip = F.concat_ws(".", _byte(h, 0) % 223 + 1, _byte(h, 1), _byte(h, 2), _byte(h, 3))
-    body = _like(c, h, keep=1)
-    off = lambda x: _luhn(x)
     # the last digit is moved so that the check sum is as before
-    last = (F.substr(body, F.length(body), F.lit(1)).cast("int") + off(c) - off(body) + 20) % 10
+    last = (F.substr(body, F.length(body), F.lit(1)).cast("int") + _luhn(c) - _luhn(body) + 20) % 10
     card = F.concat(F.substr(body, F.lit(1), F.length(body) - 1), last)
     head = F.substring_index(c, ":", 1)
     phone = F.concat(head, F.lit(":"), _like(F.substring_index(c, ":", -1), h))
@@ -177,9 +192,8 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     columns and repeated rows stay; equal rows are replaced alike. `key` must be kept secret."""
     docs = docs.drop("n_entities")
     found = F.coalesce(F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1)), F.array().cast("array<string>"))
-    holders = docs.select("doc_id", text_key(text).alias("__llm_key"), F.explode(F.array_distinct(found)).alias("m"))
-    holders = holders.select("doc_id", "__llm_key", kind(F.col("m")).alias("k"), canonical(F.col("m")).alias("c"))
-    holders = written(holders, "mentions")
+    holders = docs.select("doc_id", text_key(text).alias("__llm_key"), F.explode(entities(F.array_distinct(found))).alias("e"))
+    holders = written(holders.select("doc_id", "__llm_key", "e.k", "e.c"), "mentions")
     other = written(attempts(holders.select("k", "c"), key), "attempts")
     rows = docs.withColumn("__llm_m", found)
     if other.isEmpty():  # no entity was drawn again
@@ -191,12 +205,11 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
         on = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_key") == F.col("__llm_k"))
         rows = rows.withColumn("__llm_key", text_key(text)).join(per, on, "left").drop("__llm_key", "__llm_id", "__llm_k")
 
-    def surrogate(m):
-        k, c = kind(m), canonical(m)
-        a = F.coalesce(F.try_element_at(F.col("__llm_a"), F.concat_ws("|", k, c)), F.lit(0))
-        return written_like(m, k, draw(k, c, a, key))
+    def surrogate(x):
+        a = F.coalesce(F.try_element_at(F.col("__llm_a"), F.concat_ws("|", x["k"], x["c"])), F.lit(0))
+        return F.struct(x["m"].alias("m"), x["k"].alias("k"), draw(x["k"], x["c"], a, key).alias("s"))
 
-    new = F.transform(F.col("__llm_m"), surrogate)
+    new = F.transform(F.transform(entities(F.col("__llm_m")), surrogate), lambda x: written_like(x["m"], x["k"], x["s"]))
     between = F.split(F.col(text), ENTITY, -1)
     joined = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return rows.select(

@@ -47,7 +47,7 @@ def classes() -> np.ndarray:
             out[c] = NUMBER
         elif k[0] == "Z" or c in (9, 10, 11, 12, 13, 0x85):
             out[c] = WHITE
-        elif k == "Cn":
+        elif k == "Cn" and c < 0x40000:  # the planes beyond hold no character in any version
             later.append(c)
     out[32] = BLANK
     split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
