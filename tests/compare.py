@@ -25,8 +25,10 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def cell(v):
-    if v is None or v != v:
-        return ""
+    if v is None:
+        return "<null>"
+    if v != v:
+        return "nan"
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, float):

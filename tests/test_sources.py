@@ -37,3 +37,27 @@ def test_insert_and_prune(spark, tmp_path):
     assert tables.read(spark, root, "events").count() == 10
     assert tables.prune(spark, root, 3 * day)["events"] == 6
     assert sorted(int(r[0]) for r in tables.read(spark, root, "events").select("event_id").collect()) == [6, 7, 8, 9]
+
+
+def test_log_folder_with_a_missing_log_and_ties(spark, tmp_path):
+    """No ssl.log; of several DNS records of a connection the last line counts; bad lines are rejects."""
+    from wiretally.sources.jsonlogs import read_log_dir
+
+    conn = ['{"uid":"c1","ts":"100.5","id.orig_h":"10.0.0.1","id.resp_h":"8.8.8.8","id.resp_p":53,"proto":"udp"}',
+            '{"uid":"c2","ts":"1e300","id.orig_h":"10.0.0.1","id.resp_h":"8.8.8.8"}', '{"uid":"c3"}{"uid":"c4"}', '{"uid":"c5"} x}', "# note"]
+    dns = ['{"uid":"c1","query":"first.example.com"}', '{"uid":"c1","query":"last.example.com"}']
+    (tmp_path / "conn.log").write_text("\n".join(conn))
+    (tmp_path / "dns.log").write_text("\n".join(dns))
+    out = read_log_dir(spark, str(tmp_path))
+    assert [(r["dns"]["query"], r["src_ip"]) for r in out.flows.collect()] == [("last.example.com", "10.0.0.1")]
+    assert sorted(r["reason"] for r in out.rejects.collect()) == ["bad_json", "bad_json", "other"]
+
+
+def test_capture_tag_reaches_the_flow(spark, tmp_path):
+    from wiretally.sources.jsonlogs import read_lines
+    from wiretally.sources.records import normalise
+
+    (tmp_path / "day1.log").write_text('{"uid":"1","uid":"2","ts":"1","id.orig_h":"10.0.0.1","id.resp_h":"8.8.8.8"}\n')
+    records, _ = read_lines(spark, str(tmp_path / "day1.log"), tag_capture=True)
+    assert [r["uid"] for r in records.collect()] == ["2"]
+    assert [r["pcap_reference"] for r in normalise(records.drop("_pos"), raw="_raw").flows.collect()] == ["day1.log"]

@@ -45,7 +45,8 @@ def name_dataset(names: DataFrame, holdout_family: str | None = None) -> DataFra
     """Lexical rows from labelled names (domain, label, family): distinct names first, so no copy
     can sit on both sides of a split; the held-out family becomes `unseen_family` and is scored
     against the benign test names."""
-    distinct = names.groupBy("domain").agg(F.min("label").alias("label"), F.min("family").alias("family"))
+    first = F.min(F.struct("label", "family"))  # of one row, so the two belong together
+    distinct = names.groupBy("domain").agg(first.alias("f")).select("domain", "f.label", "f.family")
     held = (F.col("family") == holdout_family) & (F.col("label") == 1) if holdout_family else F.lit(False)
     parts = stratified_split(distinct.filter(~held), ["label", "family"], "domain")
     if holdout_family:

@@ -64,7 +64,7 @@ def canonical_domains(spark, sf):
     return w.select("w", text.canonical_domain(F.col("w")).alias("canonical"))
 
 
-@query("F1 F2 F3 F4 F5 F6", f"""WITH {_WORDS}, w2 AS (SELECT w FROM words WHERE length(w) >= 4),
+@query("F1 F2 F3 F4 F5 F6", f"""WITH {_WORDS}, w2 AS (SELECT w FROM words),
 chr AS (SELECT w, unnest(string_split(w, '')) AS ch FROM w2),
 ent AS (SELECT w, -sum(c / n * log2(c / n)) AS h FROM (SELECT w, ch, CAST(count(*) AS DOUBLE) AS c, CAST(length(w) AS DOUBLE) AS n FROM chr WHERE ch <> '' GROUP BY w, ch) GROUP BY w)
 SELECT w, {q.r6('h', 'entropy')}, {q.r6("length(regexp_replace(w, '[^0-9]', '', 'g')) / length(w)", 'digits')},
@@ -74,7 +74,7 @@ FROM w2 JOIN ent USING (w)""")
 def word_statistics(spark, sf):
     d = table(spark, sf, "documents")
     w = d.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_.-]+"), F.lit(0))).alias("w")).select(
-        F.lower("w").alias("w")).filter(F.length("w") >= 4).distinct()
+        F.lower("w").alias("w")).distinct()
     c = F.col("w")
     return w.select("w", r6(text.char_entropy(c), "entropy"), r6(text.digit_ratio(c), "digits"),
                     r6(text.unique_char_ratio(c), "uniq"), r6(text.longest_consonant_run(c), "consonants"))

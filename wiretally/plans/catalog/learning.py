@@ -134,7 +134,7 @@ def transfer_probe(spark, sf):
 
 
 _NAMES = """nm AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) AS w, lang FROM documents),
-fam AS (SELECT w AS domain, min(CASE WHEN lang = 'en' THEN 0 ELSE 1 END) AS label, min(lang) AS family FROM nm GROUP BY w)"""
+fam AS (SELECT domain, f.label AS label, f.family AS family FROM (SELECT w AS domain, min({'label': CASE WHEN lang = 'en' THEN 0 ELSE 1 END, 'family': lang}) AS f FROM nm GROUP BY w))"""
 
 
 def _names(spark, sf):

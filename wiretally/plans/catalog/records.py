@@ -16,7 +16,7 @@ def _raw_flows(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return e.select(
-        F.when(k == 1, "-").when(k == 2, "soon").otherwise(F.format_string("%.6f", us / 1e6)).alias("ts"),
+        F.when(k == 1, "-").when((k == 2) & (F.col("event_id") % 2 == 0), "1e300").when(k == 2, "soon").otherwise(F.format_string("%.6f", us / 1e6)).alias("ts"),
         F.when(k == 3, "10.0.0.256").when(k == 4, "").otherwise(F.concat(F.lit("10.0.0."), F.col("user_id") % 200)).alias("id.orig_h"),
         F.concat(F.lit("198.51.100."), k).alias("id.resp_h"),
         F.when(k == 5, "70000").when(k == 6, "-3").otherwise((F.col("event_id") % 60000).cast("string")).alias("id.orig_p"),
@@ -66,14 +66,17 @@ def reject_reasons(spark, sf):
     return reject_counts(normalise(_raw_flows(spark, sf), "IPFIX"))
 
 
-@query("S1 V16", """WITH l AS (SELECT CASE WHEN event_id % 7 = 0 THEN 'bad_json' WHEN event_id % 7 IN (1, 2) THEN 'skipped' ELSE 'record' END AS outcome FROM events)
-SELECT outcome, count(*) AS n FROM l WHERE outcome <> 'skipped' GROUP BY outcome""")
+@query("S1 V16", """WITH l AS (SELECT CASE WHEN event_id % 7 IN (0, 3, 5) THEN 'bad_json' WHEN event_id % 7 IN (1, 2) THEN 'skipped' ELSE 'record' END AS outcome, event_id FROM events)
+SELECT outcome, count(*) AS n, CAST(coalesce(sum(event_id) FILTER (WHERE outcome = 'record'), 0) AS BIGINT) AS ids FROM l WHERE outcome <> 'skipped' GROUP BY outcome""")
 def json_line_scan(spark, sf):
     e = table(spark, sf, "events").withColumn("m", F.col("event_id") % 7)
     body = F.to_json(F.struct(F.col("event_id").cast("string").alias("uid"), F.col("event_type").alias("service")))
-    line = F.when(F.col("m") == 0, F.concat(body, F.lit("}{"))).when(F.col("m") == 1, F.concat(F.lit("# "), body)).when(F.col("m") == 2, F.lit("  ")).otherwise(body)
+    line = F.when(F.col("m") == 0, F.concat(body, F.lit("}{"))).when(F.col("m") == 1, F.concat(F.lit("# "), body)).when(F.col("m") == 2, F.lit("  "))
+    twice = F.concat(F.lit('{"uid":"0",'), F.substr(body, F.lit(2)))  # a repeated key: the last one counts
+    line = line.when(F.col("m") == 3, F.concat(body, body)).when(F.col("m") == 4, twice).when(F.col("m") == 5, F.concat(body, F.lit(" x}"))).otherwise(body)
     records, bad = jsonlogs.parse_lines(e.select(line.alias("value")))
-    return records.select(F.lit("record").alias("outcome")).unionByName(bad.select(F.lit("bad_json").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
+    both = records.select(F.lit("record").alias("outcome"), F.col("uid").cast("bigint").alias("id")).unionByName(bad.select(F.lit("bad_json").alias("outcome"), F.lit(0).cast("bigint").alias("id")))
+    return both.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 def _logs(spark, sf):

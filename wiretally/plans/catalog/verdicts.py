@@ -322,7 +322,7 @@ def duplicate_suppression(spark, sf):
 
 
 @query("X1 X2 X3 X4 X5 X6 X11 T6 F19", "WITH " + results_sql() + f""" SELECT alert_id, det AS detector_name, cls AS threat_class, severity, {q.r6('fused', 'confidence')},
-CASE WHEN n > 0 THEN 'FUSION' ELSE 'RULE_EVIDENCE' END AS confidence_basis, src_ip AS correlation_id, incident_id, array_to_string(others, ',') AS contributing,
+CASE WHEN n > 0 THEN 'FUSION' ELSE 'RULE_EVIDENCE' END AS confidence_basis, src_ip AS correlation_id, incident_id, coalesce(array_to_string(others, ','), '') AS contributing,
 coalesce(len(others), 0) + 1 AS n_versions FROM alerts""")
 def fused_alerts(spark, sf):
     a = event_fusion(spark, sf).alerts

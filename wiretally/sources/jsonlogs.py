@@ -11,21 +11,32 @@ from wiretally.sources.records import Normalised, all_aliases, normalise
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(records, bad): blank and `#` lines and non-object JSON are skipped, bad JSON is kept."""
+    """(records, bad): blank and `#` lines and non-object JSON are skipped, bad JSON is kept.
+
+    A line is one JSON value: it is read as the only element of a list, so anything after the value
+    is an error. Of a repeated key the last value counts. A `capture_file` column of the lines
+    replaces the field of that name, and `_pos`, the lines' order, is passed on."""
     text = F.trim(F.col(column))
     used = lines.withColumn("_line", text).filter((F.col("_line") != "") & ~F.col("_line").startswith("#"))
-    whole = ~F.col("_line").startswith("{") | F.col("_line").endswith("}")
-    parsed = F.try_parse_json("_line").isNotNull() & whole
+    schema = T.ArrayType(T.StructType([T.StructField(a, T.StringType()) for a in all_aliases()]))
+    listed = F.concat(F.lit("["), F.col("_line"), F.lit("]"))
+    used = used.withColumn("_r", F.from_json(listed, schema, {"allowSingleQuotes": "false"}))
+    is_object = F.col("_line").startswith("{")
+    one = F.coalesce(F.size("_r") == 1, F.lit(False))
+    parsed = F.when(is_object, one).otherwise(F.try_parse_json(listed).isNotNull())
     bad = used.filter(~parsed).select(F.col("_line").alias("raw"), F.lit("bad_json").alias("reason"))
-    schema = T.StructType([T.StructField(a, T.StringType()) for a in all_aliases()])
-    records = used.filter(parsed & F.col("_line").startswith("{")).select(
-        F.col("_line").alias("_raw"), F.from_json("_line", schema).alias("r")
-    )
-    return records.select("_raw", *[F.col(f"r.`{a}`").alias(a) for a in all_aliases()]), bad
+    tagged = lambda a: a == "capture_file" and a in lines.columns
+    records = used.filter(parsed & is_object).withColumn("r", F.element_at("_r", 1))
+    order = ["_pos"] if "_pos" in lines.columns else []
+    return records.select(F.col("_line").alias("_raw"), *order, *[
+        (F.col(a) if tagged(a) else F.col(f"r.`{a}`")).alias(a) for a in all_aliases()]), bad
 
 
 def read_lines(spark: SparkSession, path: str, tag_capture: bool = False) -> tuple[DataFrame, DataFrame]:
-    lines = spark.read.text(path)
+    folder, _, name = path.rpartition("/")
+    # a name filter instead of a path: a log that is not there has no lines
+    lines = spark.read.option("pathGlobFilter", name).text(folder)
+    lines = lines.withColumn("_pos", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")))
     if tag_capture:
         lines = lines.withColumn("capture_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     return parse_lines(lines)
@@ -63,7 +74,7 @@ def read_log_dir(spark: SparkSession, folder: str, source_type: str = "ZEEK_LOG"
     conn, bad0 = read_lines(spark, f"{folder}/conn.log")
     dns, bad1 = read_lines(spark, f"{folder}/dns.log")
     ssl, bad2 = read_lines(spark, f"{folder}/ssl.log")
-    records = correlate(conn, merge_by_uid([dns, ssl]))
+    records = correlate(conn.drop("_pos"), merge_by_uid([dns, ssl]))
     out = normalise(records, source_type, params, raw="_raw")
     bad = bad0.unionByName(bad1).unionByName(bad2).select("raw", F.lit(source_type).alias("source_type"), "reason")
     flows = out.flows.orderBy("ts_us") if ordered else out.flows

@@ -81,6 +81,10 @@ def _text(df: DataFrame, name: str) -> Column:
     return col.cast("string")
 
 
+#: Seconds of the years 1 to 9999.
+YEARS = (-62135596800.0, 253402300799.0)
+
+
 def pick(df: DataFrame, aliases) -> Column:
     """First usable value among the aliases; empty text, null and `-` do not count."""
     found = [_text(df, a) for a in aliases if a in df.columns]
@@ -143,7 +147,7 @@ def normalise(
     c = F.col
     ts = number(c("f_timestamp"))
     rows = picked.withColumns({
-        "ts_s": ts, "ts_us": F.round(ts * 1e6).cast("bigint"),
+        "ts_s": ts, "ts_us": F.when(ts.between(*YEARS), F.round(ts * 1e6).try_cast("bigint")),
         "src": net.canonical_ip(F.trim("f_src_ip")), "dst": net.canonical_ip(F.trim("f_dst_ip")),
         "sport": optional_int(c("f_src_port")), "dport": optional_int(c("f_dst_port")),
         "tp": transport(c("f_transport")), "q": canonical_domain(c("d_query")), "s": canonical_domain(c("t_sni")),
@@ -152,7 +156,7 @@ def normalise(
     ver = lambda x: F.when(x.contains(":"), 6).otherwise(4)
     rows = rows.withColumn("reason", (
         F.when(c("f_timestamp").isNull(), "bad_timestamp")
-        .when(c("ts_s").isNull(), "other")
+        .when(c("ts_us").isNull(), "other")  # no number, or outside the calendar
         .when(c("f_src_ip").isNull() | c("f_dst_ip").isNull(), "bad_address")
         .when(c("d_query").isNotNull() & c("q").isNull(), "bad_domain")
         .when(c("t_sni").isNotNull() & c("s").isNull(), "bad_domain")
