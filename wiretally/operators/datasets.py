@@ -99,8 +99,11 @@ def consumption(dataset: DataFrame, dataset_id: str) -> DataFrame:
 
 
 def content_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-independent hash: row hashes are folded with sums, so it combines across tasks."""
-    h = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
+    """Order-independent hash: row hashes are folded with sums, so it combines across tasks.
+
+    Values carry their length, so neither nulls nor separators inside values make rows look alike."""
+    value = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    h = F.sha2(F.concat_ws("|", *[value(F.col(c)) for c in columns]), 256)
     piece = lambda i: F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("bigint")
     sums = [F.sum(piece(i)).alias(f"p{i}") for i in range(8)]
     return rows.agg(F.count("*").alias("row_count"), *sums).select(

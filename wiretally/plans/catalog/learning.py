@@ -169,29 +169,30 @@ def _fb_alerts(spark, sf):
 
 @query("M3 J7 W19", f"""WITH {_FEEDBACK_SQL}, {_FB_ALERTS}, rk AS (SELECT *, row_number() OVER (ORDER BY ts_us, alert_id) AS r, count(*) OVER () AS n FROM jn)
 SELECT feedback_id, alert_id, CASE WHEN label = 'TRUE_POSITIVE' THEN 1 ELSE 0 END AS label, x AS length,
-CASE WHEN r <= floor(n * 0.7) THEN 'train' WHEN r <= floor(n * 0.85) THEN 'validation' ELSE 'test' END AS split FROM rk""")
+CASE WHEN r <= floor(n * 0.7) THEN 'train' WHEN r <= floor(n * 0.85) THEN 'validation' ELSE 'test' END AS split FROM rk WHERE n >= 20""")
 def feedback_dataset(spark, sf):
-    d = datasets.feedback_dataset(feedback_of(spark, sf), _fb_alerts(spark, sf), "dga", ["length"], min_rows=5)
+    d = datasets.feedback_dataset(feedback_of(spark, sf), _fb_alerts(spark, sf), "dga", ["length"])
     return d.select("feedback_id", "alert_id", "label", "length", "split")
 
 
 @query("M4 J13 P15", f"""WITH {_FEEDBACK_SQL}, {_FB_ALERTS} SELECT feedback_id, alert_id IN (SELECT alert_id FROM fa) AS known FROM fb
-WHERE feedback_id NOT IN (SELECT feedback_id FROM jn)""")
+WHERE feedback_id NOT IN (SELECT feedback_id FROM jn WHERE (SELECT count(*) FROM jn) >= 20)""")
 def unconsumed_feedback(spark, sf):
     fb, a = feedback_of(spark, sf), _fb_alerts(spark, sf)
-    used = datasets.consumption(datasets.feedback_dataset(fb, a, "dga", ["length"], min_rows=5), "d1")
+    used = datasets.consumption(datasets.feedback_dataset(fb, a, "dga", ["length"]), "d1")
     left = datasets.unconsumed(fb, used)
     known, unknown = datasets.known_and_unknown(left, a)
     return known.select("feedback_id", F.lit(True).alias("known")).unionByName(unknown.select("feedback_id", F.lit(False).alias("known")))
 
 
-@query("A18", "SELECT count(*) AS row_count, true AS stable FROM documents")
+_HASH_PIECES = ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT) AS p{i}" for i in range(8))
+
+
+@query("A18", f"""WITH h AS (SELECT sha256(concat_ws('|', coalesce(length(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-'), coalesce(length(text)::VARCHAR || ':' || text, '-'))) AS h FROM documents),
+p AS (SELECT count(*) AS row_count, {_HASH_PIECES} FROM h)
+SELECT row_count, sha256(concat_ws('|', row_count, {", ".join(f"p{i}" for i in range(8))})) AS content_hash FROM p""")
 def dataset_content_hash(spark, sf):
-    d = table(spark, sf, "documents")
-    a = datasets.content_hash(d, ["doc_id", "text"])
-    b = datasets.content_hash(d.orderBy(F.desc("doc_id")), ["doc_id", "text"]).select(F.col("content_hash").alias("other"))
-    j = a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k")
-    return j.select("row_count", (F.col("content_hash") == F.col("other")).alias("stable"))
+    return datasets.content_hash(table(spark, sf, "documents"), ["doc_id", "text"])
 
 
 @query("W20", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY epoch_us(ts) DESC, event_id DESC) AS r FROM events)
@@ -258,16 +259,29 @@ def score_means(spark, sf):
     return evaluation.score_means(_live(spark, sf)).select("detector_name", "role", "samples", r6("mean_confidence"))
 
 
-@query("M15 J12 A16", f"""WITH {_LIVE}, a AS (SELECT detector, count(*) FILTER (WHERE NOT shadow) AS champion_samples, count(*) FILTER (WHERE shadow) AS challenger_samples FROM lv GROUP BY detector)
-SELECT detector, champion_samples, challenger_samples,
-CASE detector WHEN 'A' THEN 'challenger better on held-out F1 and no worse on false positives' WHEN 'N' THEN 'challenger does not beat champion; keep the incumbent' ELSE 'no challenger registered' END AS verdict FROM a""")
+@query("M15 J12 A16", f"""WITH {_LIVE.replace('FROM lineitem', ', CAST(l_quantity > 25 AS INT) AS label FROM lineitem')},
+c AS (SELECT detector, shadow, count(*) AS n, avg(confidence) AS mean, count(*) FILTER (WHERE label = 1 AND confidence >= 0.5) AS tp, count(*) FILTER (WHERE label = 0 AND confidence >= 0.5) AS fp,
+ count(*) FILTER (WHERE label = 0 AND confidence < 0.5) AS tn, count(*) FILTER (WHERE label = 1 AND confidence < 0.5) AS fn FROM lv GROUP BY ALL),
+m AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END AS fpr FROM c),
+j AS (SELECT d.detector, a.n AS an, b.n AS bn, a.mean AS am, b.mean AS bm, a.f1 AS af, b.f1 AS bf, a.fpr AS ar, b.fpr AS br
+ FROM (SELECT DISTINCT detector FROM m) d LEFT JOIN (FROM m WHERE NOT shadow) a USING (detector) LEFT JOIN (FROM m WHERE shadow) b USING (detector))
+SELECT detector, coalesce(an, 0) AS champion_samples, coalesce(bn, 0) AS challenger_samples, {q.r6('coalesce(am, 0)', 'champion_mean_confidence')}, {q.r6('coalesce(bm, 0)', 'challenger_mean_confidence')},
+{q.r6('af', 'champion_f1')}, {q.r6('bf', 'challenger_f1')}, {q.r6('ar', 'champion_fpr')}, {q.r6('br', 'challenger_fpr')},
+CASE WHEN bn IS NULL THEN 'no challenger registered' WHEN an IS NULL THEN 'no champion; challenger cannot be compared and must not be promoted blind'
+ WHEN bf > af AND br <= ar THEN 'challenger better on held-out F1 and no worse on false positives' WHEN bf > af THEN 'challenger better on F1 but worse on false positives -- weigh alert load'
+ ELSE 'challenger does not beat champion; keep the incumbent' END AS verdict FROM j""")
 def champion_challenger_comparison(spark, sf):
-    live = _live(spark, sf)
-    row = lambda det, role, f1: live.filter(F.col("detector_name") == det).limit(1).select(
-        F.lit(det).alias("detector"), F.lit(role).alias("role"), F.lit("v1").alias("version"), F.lit(f1).alias("f1"), F.lit(0.01).alias("false_positive_rate"))
-    metrics = row("A", "champion", 0.8).unionByName(row("A", "challenger", 0.9)).unionByName(row("N", "champion", 0.9)).unionByName(row("N", "challenger", 0.5)).unionByName(row("R", "champion", 0.9))
+    """Metrics of either role are those of its own judged rows; the score spreads differ too little for the note."""
+    live = table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("detector_name"), (F.col("l_linestatus") == "O").alias("shadow"),
+        (F.col("l_discount") * 10).alias("confidence"), (F.col("l_quantity") > 25).cast("int").alias("label"))
+    judged = evaluation.confusion(live.withColumnRenamed("confidence", "score"), 0.5, ["detector_name", "shadow"])
+    metrics = judged.select(
+        F.col("detector_name").alias("detector"), F.when(F.col("shadow"), "challenger").otherwise("champion").alias("role"),
+        F.lit("v1").alias("version"), "f1", "false_positive_rate")
     c = models.compare(live, metrics)
-    return c.select("detector", "champion_samples", "challenger_samples", "verdict")
+    shown = [f"{r}_{m}" for m in ("mean_confidence", "f1", "fpr") for r in ("champion", "challenger")]
+    return c.select("detector", "champion_samples", "challenger_samples", *[r6(n) for n in shown], "verdict")
 
 
 @query("M13 M14 A11 A12")

@@ -115,7 +115,7 @@ def indicator_validation(spark, sf):
     return o.select("o_orderkey", kind.alias("kind"), valid_indicator(kind, v).alias("value"))
 
 
-_FEEDBACK_SQL = """fb AS (SELECT 'f' || CAST(doc_id AS VARCHAR) AS feedback_id, 'a' || CAST(doc_id % 300 AS VARCHAR) AS alert_id, doc_id AS ts_us,
+_FEEDBACK_SQL = """fb AS (SELECT 'f' || CAST(doc_id AS VARCHAR) AS feedback_id, CASE WHEN doc_id % 50 = 7 THEN 'gone' ELSE 'a' END || CAST(doc_id - doc_id % 3 AS VARCHAR) AS alert_id, doc_id AS ts_us,
  CASE WHEN toxic = 1 THEN 'FALSE_NEGATIVE' WHEN quality = 1 THEN 'TRUE_POSITIVE' ELSE 'FALSE_POSITIVE' END AS label, CASE WHEN doc_id % 2 = 0 THEN 'DGA' END AS corrected FROM labels)"""
 
 
@@ -123,7 +123,7 @@ def feedback_of(spark, sf):
     """Analyst judgements from the labels table: quality and toxicity of a document."""
     l = table(spark, sf, "labels")
     return l.select(
-        F.concat(F.lit("f"), "doc_id").alias("feedback_id"), F.concat(F.lit("a"), (F.col("doc_id") % 300).cast("string")).alias("alert_id"),
+        F.concat(F.lit("f"), "doc_id").alias("feedback_id"), F.concat(F.when(F.col("doc_id") % 50 == 7, "gone").otherwise("a"), (F.col("doc_id") - F.col("doc_id") % 3).cast("string")).alias("alert_id"),
         F.col("doc_id").alias("ts_us"),
         F.when(F.col("toxic") == 1, "FALSE_NEGATIVE").when(F.col("quality") == 1, "TRUE_POSITIVE").otherwise("FALSE_POSITIVE").alias("label"),
         F.when(F.col("doc_id") % 2 == 0, "DGA").alias("corrected"),
