@@ -139,12 +139,12 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds:
     A null text counts as empty, null metadata as values of their own. Documents with several labels
     take part with their mean, rounded. Without labelled documents of both kinds nothing can be
     learned: the score is their share of good ones, 0.5 if there are none. `keep` is score >= 0.5."""
-    feats = written(features(docs), "views")
     told = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.round(F.avg(F.col(label).cast("double"))).cast("int").alias("y"))
-    rows = written(feats.join(told, "doc_id").orderBy("h", "key").limit(max_labelled), "labelled")
+    feats = written(features(docs).join(told, "doc_id", "left"), "views")  # the only shuffle of features
+    rows = written(feats.filter("y is not null").orderBy("h", "key").limit(max_labelled), "labelled")
     said, page, y, h = _grids(rows, "y", "h")
     prior = float(y.mean()) if len(y) else 0.5
-    free = feats.join(told, "doc_id", "left_anti")
+    free = feats.filter("y is null")
     if len(y) < 20 or y.min() == y.max():
         flat = F.lit(prior)
         return feats.select("doc_id", flat.alias("p_text"), flat.alias("p_page"), flat.alias("score"), (flat >= 0.5).alias("keep"))
