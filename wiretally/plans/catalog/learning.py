@@ -53,7 +53,7 @@ def kolmogorov_smirnov(spark, sf):
     return drift.ks(ref, cur).select("feature", r6("ks"))
 
 
-@query("M7 J10 U5 M11", f"""WITH o AS (SELECT o_orderpriority AS k, count(*) FILTER (WHERE o_orderstatus = 'F') AS r, count(*) FILTER (WHERE o_orderstatus <> 'F') AS c FROM orders GROUP BY 1),
+@query("M7 J10 U5", f"""WITH o AS (SELECT o_orderpriority AS k, count(*) FILTER (WHERE o_orderstatus = 'F') AS r, count(*) FILTER (WHERE o_orderstatus <> 'F') AS c FROM orders GROUP BY 1),
 s AS (SELECT r / (SELECT sum(r) FROM o) AS p, c / (SELECT sum(c) FROM o) AS q FROM o)
 SELECT {q.r6('''greatest(0, least(1, 0.5 * sum(CASE WHEN p > 0 THEN p * log2(p / greatest(0.5 * (p + q), 1e-6)) ELSE 0 END)
  + 0.5 * sum(CASE WHEN q > 0 THEN q * log2(q / greatest(0.5 * (p + q), 1e-6)) ELSE 0 END)))''', 'js')} FROM s""")
@@ -67,7 +67,7 @@ def discrete_features(spark, sf):
     return drift.is_discrete(_samples(spark, sf)[0])
 
 
-@query("M9 J11 M10", f"""WITH {_LONG}, {_PSI}, {_KS}, {_JS},
+@query("M9 J11", f"""WITH {_LONG}, {_PSI}, {_KS}, {_JS},
 dd AS (SELECT feature, count(DISTINCT value) <= 4 AS discrete, count(*) AS n FROM li WHERE NOT cur GROUP BY feature)
 SELECT feature, CASE WHEN discrete THEN 'jensen_shannon' WHEN coalesce(psi, 0) >= 0.00001 THEN 'psi' ELSE 'ks' END AS metric,
 {q.r6('CASE WHEN discrete THEN js WHEN coalesce(psi, 0) >= 0.00001 THEN psi ELSE ks END', 'score')}, n AS reference_size
@@ -79,6 +79,34 @@ def feature_drift_report(spark, sf):
     return drift.feature_drift(ref, cur, p).select("feature", "metric", r6("score"), "reference_size")
 
 
+_PRICES = """li AS (SELECT l_linestatus AS feature, CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) AS value, l_shipdate >= TIMESTAMP '1997-06-01' AS cur FROM lineitem)"""
+
+
+@query("M10 M5", f"""WITH {_PRICES}, {_PSI}, sz AS (SELECT feature, count(*) FILTER (WHERE NOT cur) AS r, count(*) FILTER (WHERE cur) AS c FROM li GROUP BY feature)
+SELECT feature AS detector, 'CONFIDENCE_DISTRIBUTION' AS drift_type, 'psi' AS metric, {q.r6('psi', 'score')}, r AS reference_size, c AS current_size
+FROM ps JOIN sz USING (feature) WHERE r >= 200 AND c >= 200 AND psi >= 0.00001""")
+def score_drift_report(spark, sf):
+    """Unit prices stand for scores, line states for detectors."""
+    l = table(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("detector"), (F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")).alias("value"),
+        (F.col("l_shipdate") >= F.lit("1997-06-01").cast("timestamp_ntz")).alias("cur"))
+    found = drift.score_drift(l.filter("not cur"), l.filter("cur"), DEFAULT.with_(psi_threshold=1e-5))
+    return found.select("detector", "drift_type", "metric", r6("score"), "reference_size", "current_size")
+
+
+@query("M11 M7", f"""WITH kv AS (SELECT o_orderpriority AS feature, o_orderstatus AS value, count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1995-06-01') AS r,
+ count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1995-06-01') AS c FROM orders GROUP BY ALL), {_JS},
+sz AS (SELECT feature, sum(r) AS r, sum(c) AS c FROM kv GROUP BY feature)
+SELECT feature AS detector, 'CLASS_DISTRIBUTION' AS drift_type, 'jensen_shannon' AS metric, {q.r6('js', 'score')}, CAST(r AS BIGINT) AS reference_size, CAST(c AS BIGINT) AS current_size
+FROM jj JOIN sz USING (feature) WHERE js >= 0.00001""")
+def class_drift_report(spark, sf):
+    """Order states stand for alert classes, priorities for detectors."""
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("detector"), "o_orderstatus", (F.col("o_orderdate") < F.lit("1995-06-01").cast("timestamp_ntz")).alias("old"))
+    found = drift.class_drift(o.filter("old"), o.filter("not old"), "o_orderstatus", DEFAULT.with_(js_threshold=1e-5))
+    return found.select("detector", "drift_type", "metric", r6("score"), "reference_size", "current_size")
+
+
 _JUDGED = """jd AS (SELECT source, CASE WHEN doc_id < (SELECT median(doc_id) FROM labels) THEN 'reference' ELSE 'current' END AS period,
  CASE WHEN quality = 1 THEN 'TRUE_POSITIVE' ELSE 'FALSE_POSITIVE' END AS label FROM labels JOIN documents USING (doc_id))"""
 
