@@ -56,7 +56,9 @@ def insert_new(df: DataFrame, root: str, name: str) -> None:
     old = None
     if exists(spark, f"{root}/{name}"):
         dates = with_date(df, time).select("date").distinct()
-        old = read(spark, root, name).join(F.broadcast(dates) if _few(dates) else dates, "date", "left_semi")
+        # a first batch without rows leaves a folder without files to take a schema from
+        known = spark.read.schema(with_date(df, time).select(key, "date").schema).parquet(f"{root}/{name}")
+        old = known.join(F.broadcast(dates) if _few(dates) else dates, "date", "left_semi")
     append(insert_or_ignore(df, old, key), root, name)
 
 
