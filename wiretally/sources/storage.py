@@ -20,9 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/wiretally-{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once as Parquet in the shared folder and continue from the files."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/wiretally-{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
