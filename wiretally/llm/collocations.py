@@ -198,16 +198,16 @@ def stripes(docs: DataFrame, length: int, bits: np.ndarray, heavy: tuple[np.ndar
 
 
 def merged(parts: DataFrame, least: int) -> DataFrame:
-    """(lang, prefix, next, f, total, top): merged stripes. `total` counts the prefix, `top` is its most
-    frequent extension. Lanes are shuffled once; counters are unfolded and added where they meet."""
+    """(lang, prefix, total, top, kept): merged stripes, by lane. `total` counts the prefix, `top` is its most
+    frequent extension, `kept` has the frequent ones. Lanes are shuffled once; counters are unfolded and
+    added where they meet."""
     lane = ["lang", "prefix", "lane"]
     met = parts.repartition(*lane)
     summed = met.select(*lane, F.inline(F.arrays_zip("next", "n"))).groupBy(*lane, "next").agg(F.sum("n").alias("f"))
-    stripe = summed.groupBy(*lane).agg(
+    return summed.groupBy(*lane).agg(
         F.sum("f").alias("total"),
         F.max(F.when((F.col("next") != F.lit(b"")) & (F.col("f") >= least), F.col("f"))).alias("top"),
         F.collect_list(F.when((F.col("next") != F.lit(b"")) & (F.col("f") >= least), F.struct("next", "f"))).alias("kept"))
-    return stripe.filter(F.size("kept") > 0)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int = SHARE, longest: int = LONGEST) -> DataFrame:
@@ -235,9 +235,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
 
 
 def _ranked(levels: list[DataFrame], found: list[DataFrame], per_lang: DataFrame, least: int, top: int, share: int) -> DataFrame:
-    known, wide = levels[0], None
-    for level in levels[1:]:
-        known = known.unionByName(level)
+    wide = None
     for rows in found[1:]:  # how much of a phrase one extension explains: by the next word and by the word before
         ahead = rows.select("lang", F.col("prefix").alias("inner"), "top")
         behind = rows.select("lang", F.split(F.col("prefix").cast("string"), " ", 2).alias("w"), F.inline("kept")).select(
@@ -255,9 +253,15 @@ def _ranked(levels: list[DataFrame], found: list[DataFrame], per_lang: DataFrame
     join = lambda a, n: F.array_join(F.slice("w", a, n), " ").cast("binary")
     cuts = phrases.withColumn("w", words).select("lang", "phrase", "f", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "f", "k", join(F.lit(1), F.col("k")).alias("left"), join(F.col("k") + 1, F.size("w") - F.col("k")).alias("right"))
-    side = lambda c, out: known.select(F.col("lang").alias(f"{c}g"), F.col("phrase").alias(f"{c}p"), F.col("f").alias(out))
-    cuts = cuts.join(side("l", "l"), (F.col("lang") == F.col("lg")) & (F.col("left") == F.col("lp"))).join(
-        side("r", "r"), (F.col("lang") == F.col("rg")) & (F.col("right") == F.col("rp")))
+    known, totals = levels[0], None
+    for level in levels[1:-1]:
+        known = known.unionByName(level)
+    for rows in found:
+        own = rows.select(F.col("lang").alias("lg"), F.col("prefix").alias("lp"), "total")
+        totals = own if totals is None else totals.unionByName(own)
+    totals = totals.groupBy("lg", "lp").agg(F.sum("total").alias("l"))  # over lanes
+    cuts = cuts.join(totals, (F.col("lang") == F.col("lg")) & (F.col("left") == F.col("lp"))).join(
+        known.select(F.col("lang").alias("rg"), F.col("phrase").alias("rp"), F.col("f").alias("r")), (F.col("lang") == F.col("rg")) & (F.col("right") == F.col("rp")))
     # whole numbers of up to 38 digits: the product may pass 64 bits
     score = F.expr("(cast(f as decimal(20,0)) * cast(2000000 as decimal(7,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
     best = cuts.withColumn("score", score.cast("bigint")).groupBy("lang", "phrase", "f").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
