@@ -79,13 +79,16 @@ def with_baselines(vectors: DataFrame, metrics: list[str], params: Params = DEFA
     for m in metrics:
         mean = F.col(f"_c_{m}") + F.col(f"_pm_{m}")
         sd = F.sqrt(F.greatest(F.lit(0.0), F.col(f"_pv_{m}")))
-        out[f"{m}_zscore"] = F.when(warm, stats.zscore(F.col(m), mean, sd)).otherwise(0.0)
-        out[f"{m}_baseline_mean"] = F.when(warm, mean).otherwise(0.0)
-        out[f"{m}_baseline_p95"] = F.when(warm, quantile_of(F.col(f"_l_{m}"), 0.95)).otherwise(0.0)
-        out[f"{m}_baseline_warm"] = F.when(warm, 1.0).otherwise(0.0)
+        out |= comparison(m, mean, sd, quantile_of(F.col(f"_l_{m}"), 0.95), warm)
     return rows.select(*vectors.columns, *[c.alias(n) for n, c in out.items()])
 
 
+def comparison(metric: str, mean: Column, sd: Column, p95: Column, warm: Column) -> dict[str, Column]:
+    """What a vector says about a metric and its past; nothing while the baseline is cold."""
+    seen = (stats.zscore(F.col(metric), mean, sd), mean, p95, F.lit(1.0))
+    return {f"{metric}_{n}": F.when(warm, c).otherwise(0.0) for n, c in zip(("zscore", "baseline_mean", "baseline_p95", "baseline_warm"), seen)}
+
+
 def quantile_of(values: Column, q: float) -> Column:
     """Linear-interpolation quantile of an array."""
     s = F.sort_array(values)

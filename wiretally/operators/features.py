@@ -218,11 +218,7 @@ def vectors(
     name `flow_ids` and `pcap_references`."""
     names = list(names) if names is not None else feature_names(params)
     metrics = [m for m in BASELINED if any(n in names for n in baseline_names(m))]
-    compute = list(dict.fromkeys([n for n in names if "_baseline_" not in n and not n.endswith("_zscore")] + metrics))
-    if protocol:
-        compute += [f"{b}_{s}s" for s in (dns_sizes or params.sizes) for b in DNS_WINDOWED]
-        compute += ["interarrival_cv", "periodicity_score", "interarrival_count"]
-    compute = list(dict.fromkeys(compute))
+    compute = computed(names, metrics, dns_sizes or params.sizes, protocol)
     if flush_ts is None and params.flush_at == "global":
         flush_ts = flows.agg(F.max("ts_us")).first()[0]
 
@@ -258,6 +254,21 @@ def vectors(
         **sliding.window_sums(needs, keys), "p": F.last("pay", ignorenulls=True).over(w),
     }).filter(F.col("read").isNotNull())
 
+    result = finish(swept, compute, set(timing), params, extras, protocol)
+    return baselines.with_baselines(result, metrics, params) if metrics else result
+
+
+def computed(names: list[str], metrics: list[str], dns_sizes, protocol: bool) -> list[str]:
+    """The columns to build before baselines are compared."""
+    out = [n for n in names if "_baseline_" not in n and not n.endswith("_zscore")] + metrics
+    if protocol:
+        out += [f"{b}_{s}s" for s in dns_sizes for b in DNS_WINDOWED]
+        out += ["interarrival_cv", "periodicity_score", "interarrival_count"]
+    return list(dict.fromkeys(out))
+
+
+def finish(swept: DataFrame, compute: list[str], timing: set[str], params: Params, extras=(), protocol: bool = True, keep=()) -> DataFrame:
+    """Vectors from read points that carry their window totals and, in `p`, the facts of their last event."""
     out = {n: _windowed_column(*split_name(n)) for n in compute if split_name(n)}
     out |= {n: F.col(f"p.{n}") for n in timing if n not in ("observed_span", "entity_event_count")}
     if "observed_span" in compute:
@@ -272,14 +283,13 @@ def vectors(
     }
     carry = [F.col(f"p.{c}").alias(c) for c in ("src_ip", "dst_ip", "dst_port", "transport", "service", "event_count", *extras)]
     proto = ["event_id", "dns", "tls", "own"] if protocol else []
-    result = swept.select(
+    return swept.select(
         "entity_kind", "entity_id", "ts_us", "read",
         F.when(F.col("read").isin("emit", "flush"), float(max(params.sizes))).otherwise(0.0).alias("window_seconds"),
         *carry,
         direction(F.col("p.src_internal"), F.col("p.dst_internal")).alias("direction"),
-        *[c.alias(n) for n, c in out.items()], *proto,
+        *[c.alias(n) for n, c in out.items()], *proto, *keep,
     )
-    return baselines.with_baselines(result, metrics, params) if metrics else result
 
 
 def _event_rows(timed: DataFrame, keys, payload: dict, needs: Needs, protocol: bool) -> DataFrame:

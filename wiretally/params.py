@@ -32,6 +32,9 @@ class Params:
     # skew: an entity with more rows than this is cut into time slices
     hot_rows: int = 2_000_000
     slice_rows: int = 1_000_000
+    # streams: how far the watermark lags, and how long an idle entity keeps its state
+    stream_delay: int = 60
+    state_idle: int = 3600
     # floods
     ddos_min_flows: int = 20
     ddos_syn_rate: float = 500.0

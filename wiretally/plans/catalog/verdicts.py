@@ -237,6 +237,45 @@ def generated_name_detector(spark, sf):
                     F.array_join("reason_codes", ",").alias("codes"), "shadow", "model_version")
 
 
+def _logistic(batch):
+    """The name model as a Python function that cannot read every row."""
+    import numpy as np
+
+    if (batch["dns_payload_length"] % 5 == 0).any():
+        raise ValueError("unreadable name")
+    z = -4.0 + 1.2 * batch["dns_char_entropy"] + 2.0 * batch["dns_digit_ratio"] - 1.5 * batch["dns_vowel_ratio"] + 0.05 * batch["dns_payload_length"]
+    return 1 / (1 + np.exp(-z))
+
+
+@query("D10", f"""SELECT 'recon' AS detector_name, 'result' AS stage, '' AS error, n FROM (WITH RECURSIVE {",".join([q.entities(), q.reads(), q.window_totals((60,)), _scan_cte()])} SELECT count(*) AS n FROM scan)
+UNION ALL SELECT 'dga', stage, error, n FROM (WITH RECURSIVE {",".join([q.entities(), *_dns_ctes()])}, dp AS (SELECT *, {_P1} AS p FROM dv)
+ SELECT 'result' AS stage, '' AS error, count(*) FILTER (WHERE dns_label_count >= 2 AND dns_payload_length >= 8 AND p >= 0.6 AND dns_payload_length % 5 <> 0) AS n FROM dp
+ UNION ALL SELECT 'model', 'ValueError: unreadable name', count(*) FROM dp WHERE dns_payload_length % 5 = 0)
+UNION ALL SELECT 'raises', 'run', '', 1 UNION ALL SELECT 'unplanned', 'plan', '', 1""")
+def detector_fault_isolation(spark, sf):
+    """A rule that raises on some rows, a rule without its column and a model that raises on some names,
+    beside healthy detectors: those keep their results, and the errors are told."""
+    from dataclasses import replace
+
+    from wiretally.operators.detectors import guard
+    from wiretally.operators.detectors.rules import scan
+
+    def broken(change):
+        return lambda p: replace(scan(p), score=change)
+
+    recon = _BY_NAME["recon"]
+    raises = F.when(F.col("flow_count_60s") >= 3, F.raise_error(F.lit("bad rule")).cast("double")).otherwise(0.5)
+    picked = (recon, replace(recon, name="raises", evaluate=broken(raises)), replace(recon, name="unplanned", evaluate=broken(F.col("no_such_column"))), _BY_NAME["dga"])
+    names = needed_features((recon, _BY_NAME["dga"]))
+    params = LOW
+    reads = materialise(ft.vectors(read_flows(spark, sf), params, names, protocol=True, dns_sizes=(60,)), "features")
+    model = guard.PythonModel("1", _logistic, ("dns_char_entropy", "dns_digit_ratio", "dns_vowel_ratio", "dns_payload_length"))
+    found = guard.detect_guarded(reads, params, picked, {"dga": model})
+    spoken = found.results.groupBy("detector_name").agg(F.count("*").alias("n")).select("detector_name", F.lit("result").alias("stage"), F.lit("").alias("error"), "n")
+    failed = found.errors.select("detector_name", "stage", F.when(F.col("stage") == "model", F.col("error")).otherwise("").alias("error"), F.coalesce("rows", F.lit(1)).alias("n"))
+    return spoken.unionByName(failed)
+
+
 @query("D7 P10", "WITH " + q.entities(True) + """,
 t AS (SELECT src_ip || '->' || dst_ip AS entity_id, ts_us, 1 / (1 + exp(-(0.2 - 0.02 * (30 + k) + 1.5 * CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END
   + 0.1 * """ + q.ratio("v_out", "v_in") + """ + 1.0 * rarity))) AS p FROM fe WHERE sni IS NOT NULL)
