@@ -38,8 +38,9 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 # The least id that a lane of the word cannot hold itself; zero runs hold nothing else and have no escapes.
 LIMITS = np.array([1, 1] + [(1 << int(w)) - 1 for w in WIDTHS[2:15]] + [1 << 32])
 WORST = 1 << 16
-JOINED = 1 << 16
-FIRST = "\0"
+JOINED = 4096
+#: Names of chunks that cannot be taken for others: what a text begins with, and its end.
+FIRST, END = "\0", ""
 #: A blank at which a text is not cut. Python's letters and numbers are visible to every vocabulary.
 UNCUT = re.compile(r" (?![!-~\w])")
 
@@ -160,6 +161,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.end = None
         self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), [0], 0
 
     def chunks(self, text: str) -> list[str]:
@@ -178,63 +180,60 @@ class Encoder:
             return out
         return parts
 
+    def keep(self, ids: np.ndarray) -> int:
+        """Puts ids behind those of all known chunks; the place where they begin."""
+        at = self.used
+        if at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[at: at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
     def learn(self, new: list[str]) -> None:
         """Firsts go to the library one by one, the others joined: a chunk's share of the ids is told by their bytes."""
         firsts, others = [c for c in new if c[0] == FIRST], [c for c in new if c[0] != FIRST]
-        texts_, sizes = [c[1:] for c in firsts], [[len(c.encode("utf-8", "surrogatepass")) - 1] for c in firsts]
-        at, held = 0, 0
-        for i, c in enumerate(others):
-            held += len(c) + 1
-            if held > JOINED or i + 1 == len(others):
-                group = others[at: i + 1]
-                texts_.append(" " + " ".join(group))
-                sizes.append([len(g.encode("utf-8", "surrogatepass")) + 1 for g in group])
-                at, held = i + 1, 0
-        names = firsts + others
-        found = self.library.encode_batch_fast(texts_, add_special_tokens=False)
-        base = len(self.starts) - 1
-        for e, own in zip(found, sizes):
-            ids = np.array(e.ids, np.uint32)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.used: self.used + len(ids)] = ids
-            if len(own) == 1:
-                self.starts.append(self.used + len(ids))
-            else:
-                upto, ends = np.cumsum(self.bytes[ids]), np.cumsum(own)
-                cut = np.searchsorted(upto, ends)
-                if upto[-1] != ends[-1] or (upto[cut] != ends).any():
-                    raise ValueError("a token reaches across a blank")
-                self.starts += (cut + 1 + self.used).tolist()
-            self.used += len(ids)
-        self.known.update(zip(names, range(base, base + len(names))))
+        groups = [others[i: i + JOINED] for i in range(0, len(others), JOINED)]
+        joined = [" " + " ".join(g) for g in groups]
+        found = self.library.encode_batch_fast([*(c[1:] for c in firsts), *joined], add_special_tokens=False)
+        self.known.update(zip(firsts + others, range(len(self.starts) - 1, len(self.starts) - 1 + len(new))))
+        for e in found[: len(firsts)]:
+            self.keep(np.array(e.ids, np.uint32))
+            self.starts.append(self.used)
+        for e, group, text in zip(found[len(firsts):], groups, joined):
+            ids, data = np.array(e.ids, np.uint32), text.encode("utf-8", "surrogatepass")
+            ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32)[1:], len(data))
+            if len(ends) != len(group):  # some chunk has a blank in it
+                ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) + 1 for c in group])
+            upto = np.cumsum(self.bytes[ids])
+            cut = np.searchsorted(upto, ends)
+            if upto[-1] != len(data) or (upto[cut] != ends).any():
+                raise ValueError("a token reaches across a blank")
+            self.starts += (cut + 1 + self.keep(ids)).tolist()
 
     def encode(self, batch: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text), each text with its end id."""
-        if len(self.known) > 1 << 19 or self.used > 1 << 23:
+        if len(self.known) > 1 << 20 or self.used > 1 << 23 or self.end != end_id:
             self.clear()
+            self.keep(np.array([end_id], np.uint32))
+            self.starts.append(1)
+            self.known[END], self.end = 0, end_id
         names: list[str] = []
-        sizes = np.empty(len(batch), np.int64)
+        upto = np.empty(len(batch) + 1, np.int64)
+        upto[0] = 0
         for i, t in enumerate(batch):
-            parts = self.chunks(t)
-            names += parts
-            sizes[i] = len(parts)
+            names += self.chunks(t)
+            names.append(END)
+            upto[i + 1] = len(names)
         known = self.known
-        try:
-            which = np.array([known[c] for c in names], np.int64)
-        except KeyError:
-            self.learn([c for c in dict.fromkeys(names) if c not in known])
-            which = np.array([known[c] for c in names], np.int64)
+        new = set(names).difference(known)
+        if new:
+            self.learn(list(new))
+        which = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
         starts = np.asarray(self.starts)
         n = np.diff(starts)[which]
-        begins = np.cumsum(n) - n
-        doc = np.repeat(np.arange(len(batch)), sizes)
-        counts = np.bincount(doc, n, len(batch)).astype(np.int64) + 1
-        # ids of chunks go one after another, leaving one place after each text
-        out = np.full(int(counts.sum()), end_id, np.uint32)
-        step = np.arange(int(n.sum()))
-        out[step + np.repeat(doc, n)] = self.flat[step + np.repeat(starts[which] - begins, n)]
-        return out, counts
+        place = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.arange(place[-1]) + np.repeat(starts[which] - place[:-1], n)]
+        return ids, np.diff(place[upto])
 
 
 @lru_cache(maxsize=1)
