@@ -92,6 +92,12 @@ def test_bounds_hold_every_score_and_skip_windows():
     assert scored < 0.9 * len(rows.bounds) * len(pdf.iloc[::9])
 
 
+def test_blocks_without_anchors(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "BLOCK", 9)
+    rows = [(i, [1.0 + i / 64, 0.5 - i / 100], i % 3) for i in range(1, 120)]
+    assert mined(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
 def test_empty_and_one_label(spark):
     assert mined(spark.createDataFrame([], SCHEMA)) == []
     rows = [(i, [1.0 + i / 64, 0.5], 1) for i in range(1, 60) if i % 7]

@@ -279,7 +279,7 @@ def mine(vectors: DataFrame, divisor: int = 50, positives: int = POSITIVES, nega
 
     def ahead(r: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if not len(r) or not len(a):
-            return pd.DataFrame({c: [] for c in ("vec_id", "key", "id", "other", "score")})
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("vec_id", "key", "id", "other", "score")})
         best, _ = find_positives(r, a, positives, a["floor"].to_numpy(np.int64))
         i, j = np.nonzero(best.held)
         return pd.DataFrame({"vec_id": a["vec_id"].to_numpy()[i], "key": a["key"].to_numpy()[i], "id": best.id[i, j], "other": best.key[i, j], "score": best.score[i, j]})
@@ -294,13 +294,13 @@ def mine(vectors: DataFrame, divisor: int = 50, positives: int = POSITIVES, nega
     def behind(r: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         names = ("vec_id", "key", "place", "positive_id", "positive_score", "id", "other", "score")
         if not len(r) or not len(a):
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
         out = []
         for place, best in enumerate(find_negatives(r, a, negatives)[0]):
             i, j = np.nonzero(best.held)
             pos = [[a[c].iloc[x][place] for x in i.tolist()] for c in ("ids", "scores")]
             out.append(pd.DataFrame(dict(zip(names, (a["vec_id"].to_numpy()[i], a["key"].to_numpy()[i], np.full(len(i), place), *pos, best.id[i, j], best.key[i, j], best.score[i, j])))))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in names})
+        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
 
     r, a = _dealt(rows, keyed, blocks, groups)
     far = r.cogroup(a).applyInPandas(
@@ -315,12 +315,10 @@ def mine(vectors: DataFrame, divisor: int = 50, positives: int = POSITIVES, nega
 def _seeds(rows: DataFrame, divisor: int, k: int) -> DataFrame:
     """Anchors with `floor`: the score of their k-th row of the same label in their own block, which their
     positives elsewhere must reach; the least number where the block has fewer."""
-    names = [*_ROW, "floor"]
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a = pdf[pdf["vec_id"] % divisor == 0]
         if not len(a):
-            return pd.DataFrame({c: [] for c in names})
+            return a[list(_ROW)].assign(floor=np.zeros(0, np.int64))
         best, _ = find_positives(pdf, a, k)
         return a[list(_ROW)].assign(floor=best.floor(np.arange(len(a))))
 
