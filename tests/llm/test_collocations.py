@@ -66,6 +66,17 @@ def test_phrases_as_by_brute_force(spark, monkeypatch):
     assert found(df, least=4, top=30) == want
 
 
+def test_distinct_rows_are_counted_whatever_the_number_of_words():
+    rng = np.random.default_rng(9)
+    for words, n in ((5, 400), (1 << 21, 3000), (1 << 30, 50)):
+        pool = rng.integers(0, min(words, 1 << 22), max(3, n // 3))
+        columns = [rng.choice(pool, n) for _ in range(4)]
+        columns = [np.concatenate([c, c[:50]]) for c in columns]
+        found, counts = collocations._counted(columns, 1 << 22)
+        want = sorted(Counter(zip(*[c.tolist() for c in columns])).items())
+        assert list(zip(zip(*[c.tolist() for c in found]), counts.tolist())) == want
+
+
 def test_stripes_hold_prefix_totals(spark):
     rows = [("a b. a b, a c a", "en")] * 6
     df = spark.createDataFrame([(i, t, c, "s", 1) for i, (t, c) in enumerate(rows)], SCHEMA)

@@ -139,6 +139,37 @@ def _heavy(frequent: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
 
 
+def _counted(columns: list[np.ndarray], n_names: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of columns of word numbers, in order, and how often each occurs."""
+    used = np.zeros(n_names, bool)
+    for c in columns:
+        used[c] = True
+    number, back = np.cumsum(used) - 1, np.flatnonzero(used)
+    width = len(back)
+    first, rest = columns[:1], columns[1:]
+    key, size, folded = number[first[0]], width, []
+    for c in rest:
+        if size > (1 << 62) // width:  # no room for another word: what is there gets numbers of its own
+            names, key = np.unique(key, return_inverse=True)
+            folded.append((names, len(first)))
+            size = len(names)
+        key, size = key * width + number[c], size * width
+        first = [*first, c]
+    found, counts = np.unique(key, return_counts=True)
+    out: list[np.ndarray] = []
+    at = len(columns)
+    while at:  # words come off the end
+        if folded and folded[-1][1] == at:
+            found = folded.pop()[0][found]
+        if at == 1:
+            out.append(back[found])
+        else:
+            found, last = np.divmod(found, width)
+            out.append(back[last])
+        at -= 1
+    return out[::-1], counts
+
+
 def stripes(docs: DataFrame, length: int, bits: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(lang, prefix, lane, next, n): phrases of `length` words as stripes of each slice of texts. A prefix
     that may be frequent brings all its occurrences: those without a next word that may matter count
@@ -153,38 +184,49 @@ def stripes(docs: DataFrame, length: int, bits: np.ndarray, heavy: tuple[np.ndar
         m = len(ids) - k + 1  # places of prefixes
         if m <= 0:
             return None
-        whole, h = np.ones(m, bool), hashes[ids[:m]]
-        p = ids[:m]
-        for j in range(k):
-            w_j = ids[j: j + m]
-            whole &= w_j != 0
-            if j:
-                h = _longer(h, hashes[w_j])
-                _, p = np.unique(p * len(names) + w_j, return_inverse=True)
-        good = whole & _within(own, h)
+        good, h = ids[:m] != 0, hashes[ids[:m]]
+        for j in range(1, k):
+            good &= ids[j: j + m] != 0
+            h = _longer(h, hashes[ids[j: j + m]])
+        good &= _within(own, h)
         at = np.flatnonzero(good)
         if not len(at):
             return None
-        h, p = h[at], p[at]
         after = np.where(at + k < len(ids), ids[np.minimum(at + k, len(ids) - 1)], 0)
         # the phrase's last k words are the prefix that begins one place further on
         fits = (after != 0) & (at + 1 < m) & good[np.minimum(at + 1, m - 1)]
-        after = np.where(fits, after, 1)
-        key, first, counts = np.unique(p * len(names) + after, return_index=True, return_counts=True)
-        after, at, h = after[first], at[first], h[first]
-        lane = np.zeros(len(key), np.int64)
+        columns = [ids[at + j] for j in range(k)] + [np.where(fits, after, 1)]
+        phrases, counts = _counted(columns, len(names))
+        h = hashes[phrases[0]]
+        for c in phrases[1:k]:
+            h = _longer(h, hashes[c])
+        after = phrases[k]
+        new = np.zeros(len(counts), bool)  # phrases are in order, so a stripe lies together
+        new[0] = True
+        for c in phrases[:k]:
+            new[1:] |= c[1:] != c[:-1]
         if len(hot):
+            lane = np.zeros(len(counts), np.int64)
             where = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
             mine = (hot[where] == h) & (after != 1)
             lane[mine] = (hashes[after[mine]] % lanes[where[mine]].astype(np.uint64)).astype(np.int64)
-        order = np.lexsort((lane, key // len(names)))
-        p, lane, after, at, counts = (key // len(names))[order], lane[order], after[order], at[order], counts[order]
-        begin = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (lane[1:] != lane[:-1])]))
-        ends = np.append(begin, len(p)).astype(np.int32)
-        prefixes = [b" ".join([names[x] for x in ids[i: i + k].tolist()]) for i in at[begin].tolist()]
+            order = np.lexsort((lane, np.cumsum(new)))
+            phrases, counts, after, lane, new = [c[order] for c in phrases], counts[order], after[order], lane[order], new.copy()
+            new[1:] = lane[1:] != lane[:-1]
+            for c in phrases[:k]:
+                new[1:] |= c[1:] != c[:-1]
+        else:
+            lane = np.zeros(len(counts), np.int64)
+        begin = np.flatnonzero(new)
+        ends = np.append(begin, len(counts)).astype(np.int32)
+        if k == 1:
+            prefixes = [names[x] for x in phrases[0][begin].tolist()]
+        else:
+            prefixes = [b" ".join(w) for w in zip(*[[names[x] for x in c[begin].tolist()] for c in phrases[:k]])]
+        words = pa.array(names, pa.binary())
         return pa.RecordBatch.from_arrays(
             [pa.array([lang] * len(begin), pa.string()), pa.array(prefixes, pa.binary()), pa.array(lane[begin]),
-             pa.ListArray.from_arrays(pa.array(ends), pa.array([names[x] for x in after.tolist()], pa.binary())),
+             pa.ListArray.from_arrays(pa.array(ends), words.take(pa.array(after))),
              pa.ListArray.from_arrays(pa.array(ends), pa.array(counts.astype(np.int64)))],
             names=["lang", "prefix", "lane", "next", "n"])
 
