@@ -41,6 +41,7 @@ WORST = 1 << 16
 JOINED = 4096
 #: Names of chunks that cannot be taken for others: what a text begins with, and its end.
 FIRST, END = "\0", ""
+MARKS = ".,;:!?"
 #: A blank at which a text is not cut. Python's letters and numbers are visible to every vocabulary.
 UNCUT = re.compile(r" (?![!-~\w])")
 
@@ -51,24 +52,28 @@ def pack(ids: np.ndarray) -> bytes:
     ids = np.ascontiguousarray(ids, np.uint32)
     blocks = -(-n // BLOCK)
     stop = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
-    over = np.zeros((16, n + 1), np.int32)  # how many ids before a place a selector cannot hold
-    for s in range(2, 15):
-        np.cumsum(ids >= np.uint32(LIMITS[s]), out=over[s, 1:], dtype=np.int32)
-    over[:2] = over[2]  # zeros only, as the width of one bit
+    # where few ids are small, selectors of narrow lanes are not tried
+    tried = np.arange(16 if 8 * np.count_nonzero(ids < np.uint32(LIMITS[6])) >= n else 10)[::-1]
+    tried = 15 - tried
+    over = np.zeros((len(tried), n + 1), np.int32)  # how many ids before a place a selector cannot hold
+    for line, s in enumerate(tried.tolist()):
+        if s < 15:
+            np.cumsum(ids >= np.uint32(LIMITS[s]), out=over[line, 1:], dtype=np.int32)
+    zeros = np.count_nonzero(tried < 2)
     over, width = over.ravel(), n + 1
     at, live = np.arange(blocks) * BLOCK, np.arange(blocks)
     where, chosen, owner = [], [], []
-    rows, takes = np.arange(16)[:, None] * width, TAKES[:, None]
+    rows, takes = np.arange(len(tried))[:, None] * width, TAKES[tried][:, None]
     while len(live):  # one word of every unfinished block at a time
         end = np.minimum(at + takes, stop[live])
         cost = over[rows + end]
         cost -= over[rows + at]
-        cost[:2] *= WORST
+        cost[:zeros] *= WORST
         cost *= 4
         cost += 8
         best = (cost / (end - at).astype(np.float32)).argmin(axis=0)
         where.append(at)
-        chosen.append(best)
+        chosen.append(tried[best])
         owner.append(live)
         at = end[best, np.arange(len(live))]
         if (at >= stop[live]).any():
@@ -157,6 +162,7 @@ class Encoder:
         size |= {t["id"]: len(t["content"].encode()) for t in specials}
         self.bytes = np.zeros(max(size, default=0) + 1, np.int64)
         self.bytes[list(size)] = list(size.values())
+        self.marks = {c: self.library.encode(c, add_special_tokens=False).ids[0] for c in MARKS}
         self.clear()
 
     def clear(self) -> None:
@@ -190,6 +196,27 @@ class Encoder:
         return at
 
     def learn(self, new: list[str]) -> None:
+        """A mark behind a letter or number begins a piece: such chunks take the ids of what is before the mark."""
+        marked = [c for c in new if c[-1] in MARKS and len(c) > 1 and c[-2].isalnum()] if self.cuts else []
+        if not marked:
+            return self.ask(new)
+        known = self.known
+        self.ask(list({*new, *(c[:-1] for c in marked)}.difference(known, marked)))
+        starts = np.asarray(self.starts)
+        base = np.array([known[c[:-1]] for c in marked], np.int64)
+        n = starts[base + 1] - starts[base]
+        ends = np.cumsum(n + 1)
+        ids = np.empty(int(ends[-1]), np.uint32)
+        ids[ends - 1] = [self.marks[c[-1]] for c in marked]
+        place = np.ones(len(ids), bool)
+        place[ends - 1] = False
+        ids[place] = self.flat[np.arange(int(n.sum())) + np.repeat(starts[base] - (np.cumsum(n) - n), n)]
+        first = len(self.starts) - 1
+        at = self.keep(ids)
+        known.update(zip(marked, range(first, first + len(marked))))
+        self.starts += (ends + at).tolist()
+
+    def ask(self, new: list[str]) -> None:
         """Firsts go to the library one by one, the others joined: a chunk's share of the ids is told by their bytes."""
         firsts, others = [c for c in new if c[0] == FIRST], [c for c in new if c[0] != FIRST]
         groups = [others[i: i + JOINED] for i in range(0, len(others), JOINED)]
@@ -212,7 +239,7 @@ class Encoder:
 
     def encode(self, batch: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text), each text with its end id."""
-        if len(self.known) > 1 << 20 or self.used > 1 << 23 or self.end != end_id:
+        if len(self.known) > 1 << 19 or self.used > 1 << 23 or self.end != end_id:
             self.clear()
             self.keep(np.array([end_id], np.uint32))
             self.starts.append(1)
