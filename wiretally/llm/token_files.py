@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,8 +30,8 @@ from tokenizers import Tokenizer
 from wiretally.llm.common import slices, text_key, texts
 
 BLOCK = 1024
-SEGMENT = 1 << 19
-BATCH = 1 << 22
+SEGMENT = 1 << 18
+BATCH = 1 << 20
 MAGIC = 0x31423853
 # Ids per word and their width, by selector
 TAKES = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -168,7 +169,7 @@ class Encoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.end = None
-        self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), [0], 0
+        self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), array("q", [0]), 0
 
     def chunks(self, text: str) -> list[str]:
         """Names of a text's chunks: the first with FIRST before it, the others without their blank."""
@@ -202,7 +203,7 @@ class Encoder:
             return self.ask(new)
         known = self.known
         self.ask(list({*new, *(c[:-1] for c in marked)}.difference(known, marked)))
-        starts = np.asarray(self.starts)
+        starts = np.array(self.starts, np.int64)
         base = np.array([known[c[:-1]] for c in marked], np.int64)
         n = starts[base + 1] - starts[base]
         ends = np.cumsum(n + 1)
@@ -214,20 +215,21 @@ class Encoder:
         first = len(self.starts) - 1
         at = self.keep(ids)
         known.update(zip(marked, range(first, first + len(marked))))
-        self.starts += (ends + at).tolist()
+        self.starts.extend((ends + at).tolist())
 
     def ask(self, new: list[str]) -> None:
         """Firsts go to the library one by one, the others joined: a chunk's share of the ids is told by their bytes."""
         firsts, others = [c for c in new if c[0] == FIRST], [c for c in new if c[0] != FIRST]
-        groups = [others[i: i + JOINED] for i in range(0, len(others), JOINED)]
-        joined = [" " + " ".join(g) for g in groups]
-        found = self.library.encode_batch_fast([*(c[1:] for c in firsts), *joined], add_special_tokens=False)
-        self.known.update(zip(firsts + others, range(len(self.starts) - 1, len(self.starts) - 1 + len(new))))
-        for e in found[: len(firsts)]:
-            self.keep(np.array(e.ids, np.uint32))
-            self.starts.append(self.used)
-        for e, group, text in zip(found[len(firsts):], groups, joined):
-            ids, data = np.array(e.ids, np.uint32), text.encode("utf-8", "surrogatepass")
+        for i in range(0, len(firsts), 256):
+            part = firsts[i: i + 256]
+            for c, e in zip(part, self.library.encode_batch_fast([c[1:] for c in part], add_special_tokens=False)):
+                self.keep(np.array(e.ids, np.uint32))
+                self.known[c] = len(self.starts) - 1
+                self.starts.append(self.used)
+        for i in range(0, len(others), JOINED):
+            group = others[i: i + JOINED]
+            text = " " + " ".join(group)
+            ids, data = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32), text.encode("utf-8", "surrogatepass")
             ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32)[1:], len(data))
             if len(ends) != len(group):  # some chunk has a blank in it
                 ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) + 1 for c in group])
@@ -235,7 +237,8 @@ class Encoder:
             cut = np.searchsorted(upto, ends)
             if upto[-1] != len(data) or (upto[cut] != ends).any():
                 raise ValueError("a token reaches across a blank")
-            self.starts += (cut + 1 + self.keep(ids)).tolist()
+            self.known.update(zip(group, range(len(self.starts) - 1, len(self.starts) - 1 + len(group))))
+            self.starts.extend((cut + 1 + self.keep(ids)).tolist())
 
     def encode(self, batch: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text), each text with its end id."""
@@ -256,7 +259,7 @@ class Encoder:
         if new:
             self.learn(list(new))
         which = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
-        starts = np.asarray(self.starts)
+        starts = np.array(self.starts, np.int64)
         n = np.diff(starts)[which]
         place = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.arange(place[-1]) + np.repeat(starts[which] - place[:-1], n)]
