@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wiretally.functions.text import DNS_LEXICAL_FEATURES
+from wiretally.operators.ranks import exact_percentiles
 from wiretally.operators import datasets, drift, evaluation, models, reports
 from wiretally.params import DEFAULT
 from wiretally.plans.catalog import sqltext as q
@@ -118,7 +119,7 @@ _JUDGED = """jd AS (SELECT source, CASE WHEN doc_id < (SELECT median(doc_id) FRO
 SELECT detector, {q.r6('a - b', 'drop')}, sample_size FROM p WHERE a - b >= -1 AND sample_size >= 1""")
 def precision_decay(spark, sf):
     l = table(spark, sf, "labels")
-    mid = l.agg(F.median("doc_id").alias("mid")).first()[0]
+    mid = exact_percentiles(l, "doc_id", [0.5]).first()["quantiles"][0]
     j = l.join(table(spark, sf, "documents").select("doc_id", F.col("source").alias("detector")), "doc_id").select(
         "detector", F.when(F.col("doc_id") < mid, "reference").otherwise("current").alias("period"),
         F.when(F.col("quality") == 1, "TRUE_POSITIVE").otherwise("FALSE_POSITIVE").alias("label"))

@@ -217,6 +217,17 @@ def greedy_emission(spark, sf):
     return emission.emission_points(ev)
 
 
+@query("W16", "WITH RECURSIVE " + q.flows() + ", ent AS (SELECT service AS entity_id, 'SERVICE' AS entity_kind, ts_us FROM flows UNION ALL SELECT 'all', 'NETWORK', ts_us FROM flows),"
+       + q.emission() + " SELECT entity_kind, entity_id, ts_us FROM walk")
+def busy_emission(spark, sf):
+    """Entities that are hardly ever quiet: services, and the network as a whole. Runs above 64 events go
+    by pieces of 20 steps of time, whose step functions are composed."""
+    f = read_flows(spark, sf).select("service", "ts_us")
+    views = F.array(F.struct(F.lit("SERVICE").alias("entity_kind"), F.col("service").alias("entity_id")), F.struct(F.lit("NETWORK").alias("entity_kind"), F.lit("all").alias("entity_id")))
+    rows = f.select(F.inline(views), "ts_us")
+    return emission.greedy_points(rows, ["entity_kind", "entity_id"], 1_000_000, fold=64, span=20)
+
+
 @query("W16", _sql(
     "SELECT entity_kind, entity_id, max(ts_us) AS ts_us FROM ent GROUP BY entity_kind, entity_id, ts_us // 1000000"))
 def tick_emission(spark, sf):
