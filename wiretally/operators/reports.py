@@ -135,3 +135,48 @@ def registry_summary(models: DataFrame, promotions: DataFrame) -> DataFrame:
     return m.groupBy("detector").agg(
         newest_of("CHAMPION").alias("champion"), newest_of("CHALLENGER").alias("challenger"), F.count("*").alias("model_count")
     )
+
+
+def promotion_history(promotions: DataFrame) -> DataFrame:
+    """Status changes of every model, the newest of a detector first, each with the status it ended."""
+    own = Window.partitionBy("detector", "model_version").orderBy("ts_us")
+    newest_first = Window.partitionBy("detector").orderBy(F.desc("ts_us"), "model_version", "to_status")
+    return promotions.withColumns({
+        "from_status": F.coalesce(F.lag("to_status").over(own), F.lit("CANDIDATE")), "position": F.row_number().over(newest_first)})
+
+
+def datasets_in_use(models: DataFrame, promotions: DataFrame) -> DataFrame:
+    """Datasets behind the present champions and challengers, with the number of either."""
+    status = promotions.groupBy("detector", "model_version").agg(F.max_by("to_status", "ts_us").alias("status"))
+    live = models.join(status.filter(F.col("status").isin("CHAMPION", "CHALLENGER")), ["detector", "model_version"])
+    newest = Window.partitionBy("detector", "status").orderBy(F.desc("training_us"))
+    current = live.filter(F.col("dataset_id").isNotNull()).withColumn("_r", F.row_number().over(newest)).filter("_r = 1")
+    return current.groupBy("dataset_id").agg(
+        F.count_if(F.col("status") == "CHAMPION").alias("champions"), F.count_if(F.col("status") == "CHALLENGER").alias("challengers"))
+
+
+def drift_series(events: DataFrame) -> DataFrame:
+    """Score against threshold over time for every detector and metric, and how often it was passed so far."""
+    order = Window.partitionBy("detector", "metric").orderBy("ts_us").rowsBetween(Window.unboundedPreceding, 0)
+    over = F.col("score") >= F.col("threshold")
+    return events.select("detector", "metric", "ts_us", "score", "threshold", over.alias("exceeded"), F.count_if(over).over(order).alias("exceeded_so_far"))
+
+
+def drift_list(events: DataFrame, limit: int = 50, detector: str | None = None) -> DataFrame:
+    """Newest drift signals, of one detector if named."""
+    return newest(events if detector is None else events.filter(F.col("detector") == detector), limit, "drift_id")
+
+
+def feedback_list(feedback: DataFrame, limit: int = 100, unconsumed_only: bool = False) -> DataFrame:
+    """Newest analyst judgements, all or those that no dataset has used yet."""
+    return newest(feedback.filter(~F.col("consumed")) if unconsumed_only else feedback, limit, "feedback_id")
+
+
+def benchmark_list(benchmarks: DataFrame, limit: int = 20) -> DataFrame:
+    """Newest benchmark results."""
+    return newest(benchmarks, limit, "benchmark_id")
+
+
+def entity_metrics(baselines: DataFrame) -> DataFrame:
+    """The metrics that have a baseline, by entity."""
+    return baselines.groupBy("entity_kind", "entity_id").agg(F.sort_array(F.collect_set("metric")).alias("metrics"))

@@ -313,6 +313,66 @@ def champion_challenger_comparison(spark, sf):
     return c.select("detector", "champion_samples", "challenger_samples", *[r6(n) for n in shown], "verdict")
 
 
+def _promotions(spark, sf):
+    """Status changes of the part table's models: some became challengers, of those some champions or retired."""
+    m = _model_rows(spark, sf)
+    k = F.col("training_us")
+    log = lambda cond, st, t: m.filter(cond).select("detector", "model_version", F.lit(st).alias("to_status"), (k * 10 + t).alias("ts_us"))
+    return log(k % 6 < 3, "CHALLENGER", 1).unionByName(log(k % 6 == 1, "CHAMPION", 2)).unionByName(log(k % 6 == 2, "RETIRED", 3))
+
+
+_PROMOTED = """m AS (SELECT p_partkey AS k, 'det' || CAST(p_partkey % 5 AS VARCHAR) AS detector, CAST(p_partkey AS VARCHAR) AS model_version FROM part),
+pr AS (SELECT detector, model_version, 'CHALLENGER' AS to_status, k * 10 + 1 AS ts_us, k FROM m WHERE k % 6 < 3 UNION ALL SELECT detector, model_version, 'CHAMPION', k * 10 + 2, k FROM m WHERE k % 6 = 1
+ UNION ALL SELECT detector, model_version, 'RETIRED', k * 10 + 3, k FROM m WHERE k % 6 = 2)"""
+
+
+@query("Q-A7", f"""WITH {_PROMOTED} SELECT detector, model_version, coalesce(lag(to_status) OVER (PARTITION BY detector, model_version ORDER BY ts_us), 'CANDIDATE') AS from_status, to_status, ts_us,
+row_number() OVER (PARTITION BY detector ORDER BY ts_us DESC, model_version, to_status) AS position FROM pr""")
+def promotion_history(spark, sf):
+    return reports.promotion_history(_promotions(spark, sf)).select("detector", "model_version", "from_status", "to_status", "ts_us", "position")
+
+
+@query("A29", f"""WITH {_PROMOTED}, st AS (SELECT detector, model_version, arg_max(to_status, ts_us) AS status, any_value(k) AS k FROM pr GROUP BY ALL),
+cu AS (SELECT *, 'ds' || CAST(k % 4 AS VARCHAR) AS dataset_id FROM st WHERE status <> 'RETIRED' AND k % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY detector, status ORDER BY k DESC) = 1)
+SELECT dataset_id, count(*) FILTER (WHERE status = 'CHAMPION') AS champions, count(*) FILTER (WHERE status = 'CHALLENGER') AS challengers FROM cu GROUP BY dataset_id""")
+def datasets_in_use(spark, sf):
+    k = F.col("training_us")
+    m = _model_rows(spark, sf).select("detector", "model_version", "training_us", F.when(k % 7 != 0, F.concat(F.lit("ds"), (k % 4).cast("string"))).alias("dataset_id"))
+    return reports.datasets_in_use(m, _promotions(spark, sf))
+
+
+_SIGNALS = """dr AS (SELECT l_returnflag AS detector, 'discount_mean' AS metric, epoch_us(date_trunc('month', l_shipdate)) AS ts_us,
+ abs(avg(l_discount) - 0.05) * 100 AS score, 0.05 AS threshold, l_returnflag || '-' || CAST(epoch_us(date_trunc('month', l_shipdate)) AS VARCHAR) AS drift_id FROM lineitem GROUP BY ALL)"""
+
+
+def _signals(spark, sf):
+    """Monthly signals: how far the mean discount of a return flag lies from five percent."""
+    month = F.unix_micros(F.date_trunc("month", F.col("l_shipdate").cast("timestamp")))
+    s = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("detector"), month.alias("ts_us")).agg((F.abs(F.avg("l_discount") - 0.05) * 100).alias("score"))
+    return s.select("detector", F.lit("discount_mean").alias("metric"), "ts_us", "score", F.lit(0.05).alias("threshold"), F.concat_ws("-", "detector", F.col("ts_us").cast("string")).alias("drift_id"))
+
+
+@query("A29", f"""WITH {_SIGNALS} SELECT detector, metric, ts_us, {q.r6('score', 'score')}, {q.r6('threshold', 'threshold')}, score >= threshold AS exceeded,
+count(*) FILTER (WHERE score >= threshold) OVER (PARTITION BY detector, metric ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS exceeded_so_far FROM dr""")
+def drift_signal_series(spark, sf):
+    s = reports.drift_series(_signals(spark, sf))
+    return s.select("detector", "metric", "ts_us", r6("score"), r6("threshold"), "exceeded", "exceeded_so_far")
+
+
+@query("Q-A9 P15 T2", f"""WITH {_SIGNALS}, fb AS (SELECT doc_id, quality = 1 AS consumed FROM labels), bm AS (SELECT o_orderkey, epoch_us(o_orderdate) AS t FROM orders)
+SELECT 'drift' AS list, drift_id AS id, ts_us FROM (SELECT * FROM dr WHERE detector = 'R' ORDER BY ts_us DESC, drift_id LIMIT 50)
+UNION ALL SELECT 'feedback', id, t FROM (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id * 3 % 1000 AS t FROM fb WHERE NOT consumed ORDER BY t DESC, id LIMIT 100)
+UNION ALL SELECT 'benchmarks', id, t FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id, t FROM bm ORDER BY t DESC, id LIMIT 20)""")
+def newest_lists(spark, sf):
+    """The console's lists: drift signals of a detector, unused judgements, benchmark results."""
+    judged = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("feedback_id"), (F.col("doc_id") * 3 % 1000).alias("ts_us"), (F.col("quality") == 1).alias("consumed"))
+    timed = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("benchmark_id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("ts_us"))
+    part = lambda df, name, key: df.select(F.lit(name).alias("list"), F.col(key).alias("id"), "ts_us")
+    return part(reports.drift_list(_signals(spark, sf), detector="R"), "drift", "drift_id").unionByName(
+        part(reports.feedback_list(judged, unconsumed_only=True), "feedback", "feedback_id")).unionByName(
+        part(reports.benchmark_list(timed), "benchmarks", "benchmark_id"))
+
+
 @query("M13 M14 A11 A12")
 def boosted_name_model(spark, sf):
     """Trees on the lexical features of the labelled names, calibrated, evaluated per split."""

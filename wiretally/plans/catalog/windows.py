@@ -288,6 +288,20 @@ def ewma_baseline(spark, sf):
     return _rounded(_vectors(spark, sf, names), names)
 
 
+@query("P18", "WITH " + q.flows() + """, m AS (SELECT src_ip, 'bytes_out' AS metric FROM flows UNION ALL SELECT src_ip, 'dns_queries' FROM flows WHERE dns_query IS NOT NULL UNION ALL SELECT src_ip, 'failed' FROM flows WHERE failed_flow)
+SELECT 'HOST' AS entity_kind, src_ip AS entity_id, array_to_string(list_sort(list(DISTINCT metric)), ',') AS metrics FROM m GROUP BY src_ip""")
+def baseline_metrics_of_entities(spark, sf):
+    """Which metrics of a host have a baseline: those it ever had a value of."""
+    from wiretally.operators.baselines import final_state
+    from wiretally.operators.reports import entity_metrics
+
+    f = read_flows(spark, sf)
+    seen = F.array_compact(F.array(F.lit("bytes_out"), F.when(F.col("dns").isNotNull(), "dns_queries"), F.when(F.col("connection_state") == "S0", "failed")))
+    series = f.select(F.lit("HOST").alias("entity_kind"), F.col("src_ip").alias("entity_id"), "ts_us", F.explode(seen).alias("metric"), F.col("orig_bytes").cast("double").alias("value"))
+    m = entity_metrics(final_state(series))
+    return m.select("entity_kind", "entity_id", F.array_join("metrics", ",").alias("metrics"))
+
+
 @query("R9 W11", _sql(
     f"""SELECT entity_kind, entity_id, 'flows_per_sec_60s' AS metric, {q.r6('arg_max(mean, rn)', 'mean')},
     {q.r6('arg_max(var, rn)', 'variance')}, max(rn) AS "count", {q.r6('arg_max(x, rn)', 'last_value')}
