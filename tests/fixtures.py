@@ -12,12 +12,12 @@ T0 = 1_757_000_000_000_000
 DEFAULTS = dict(
     src_ip="10.0.0.5", dst_ip="198.51.100.7", dst_port=443, transport="tcp", orig_bytes=1000, resp_bytes=2000,
     orig_packets=10, resp_packets=12, duration=1.0, connection_state="SF", tcp_flags="ShADadFf", service=None,
-    query=None, qtype=None, rcode=None, response_bytes=None,
+    query=None, qtype=None, rcode=None, response_bytes=None, pcap_reference=None,
 )
 _TYPES = dict(
     ts_us="bigint", src_ip="string", dst_ip="string", dst_port="int", transport="string", orig_bytes="bigint", resp_bytes="bigint",
     orig_packets="bigint", resp_packets="bigint", duration="double", connection_state="string", tcp_flags="string", service="string",
-    query="string", qtype="string", rcode="string", response_bytes="bigint",
+    query="string", qtype="string", rcode="string", response_bytes="bigint", pcap_reference="string",
 )
 
 

@@ -51,10 +51,11 @@ def test_quiet_traffic_is_silent(spark):
 
 
 def _vectors(flows, params, names):
-    v = ft.vectors(flows, params, names, protocol=True, extras=("flow_ids",), dns_sizes=(60,))
+    v = ft.vectors(flows, params, names, protocol=True, extras=("flow_ids", "pcap_references"), dns_sizes=(60,))
     keep = ["entity_kind", "entity_id", "ts_us", "read", "event_count", *names]
     return v.select(
         *keep[:5], *[F.round(F.col(n) + 1e-9, 5).alias(n) for n in names], F.array_join("flow_ids", ",").alias("ids"),
+        F.array_join("pcap_references", ",").alias("files"),
         F.round("dns_query_count_60s", 5).alias("q"),
     )
 
@@ -68,7 +69,7 @@ def test_sliced_hot_entities_change_nothing(spark):
             at=i * 0.6 + (i % 7) * 0.013, src_ip=f"10.0.{i % 3}.{(i * 13) % 40}", dst_ip="10.9.9.9" if hot else f"198.51.100.{(i * 11) % 200}",
             dst_port=1 + (i * 17) % 300, duration=None if i % 4 else (i % 50) / 10, orig_bytes=100 + (i * 31) % 900,
             connection_state="S0" if i % 5 == 0 else "SF", transport="udp" if i % 6 == 0 else "tcp",
-            query=f"n{i % 50}.example.com" if i % 6 == 0 else None, qtype="A", rcode="NOERROR", response_bytes=100,
+            query=f"n{i % 50}.example.com" if i % 6 == 0 else None, qtype="A", rcode="NOERROR", response_bytes=100, pcap_reference=f"{i // 37 % 60}.pcap" if i % 5 else None,
         ))
     flows = fx.flows(spark, rows).cache()
     names = [

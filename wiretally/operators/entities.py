@@ -142,8 +142,19 @@ def _tails(rows: DataFrame, value_filter, slices: DataFrame) -> DataFrame:
     )
 
 
-def entity_events(flows: DataFrame, params: Params, hot: DataFrame | None) -> EntityEvents:
-    """Entity rows partitioned by their keys.
+def with_first_captures(rows: DataFrame) -> DataFrame:
+    """`fresh`: whether an event is the first of its capture file for the entity, over all slices.
+    Files are reduced to their first event inside the map tasks before anything is shuffled."""
+    e = ["entity_kind", "entity_id"]
+    first = (
+        rows.filter("pcap_reference IS NOT NULL").groupBy(*e, "pcap_reference").agg(F.min(F.struct("ts_us", "event_id")).alias("_f"))
+        .select(*e, F.col("_f.event_id").alias("event_id"), F.lit(True).alias("fresh"))
+    )
+    return rows.join(first, [*e, "event_id"], "left").fillna(False, ["fresh"])
+
+
+def entity_events(flows: DataFrame, params: Params, hot: DataFrame | None, captures: bool = False) -> EntityEvents:
+    """Entity rows partitioned by their keys; `captures` asks for what lists of capture files need.
 
     The statistics of an event, the keys it counts towards and the times at which an entity
     reports are three scans of the same rows, each shuffled with only its own columns."""
@@ -157,6 +168,8 @@ def entity_events(flows: DataFrame, params: Params, hot: DataFrame | None) -> En
         return EntityEvents(rows, placed, keys, False, params)
 
     rows = entity_rows(with_rarity(base))
+    if captures:
+        rows = with_first_captures(rows)
     e = ["entity_kind", "entity_id"]
     width = max(params.sizes) * 1_000_000
     hot_rows = entity_rows(flows.select("ts_us", "src_ip", "dst_ip")).join(hot, e, "left_semi")
@@ -171,13 +184,16 @@ def entity_events(flows: DataFrame, params: Params, hot: DataFrame | None) -> En
     plain = tagged.drop(*drop)
     arrivals = Window.partitionBy(*e, "ts_us").orderBy("event_id")
     first_of_ts = plain.withColumn("_f", F.row_number().over(arrivals)).filter("_f = 1").drop("_f")
+    files = [_tails(plain, F.col("fresh"), slices)] if captures else []
     halo = (
         window_halo.drop(*drop)
         .unionByName(_tails(plain, F.lit(True), slices))
         .unionByName(_tails(plain, F.col("duration").isNotNull(), slices))
         .unionByName(_tails(first_of_ts, F.lit(True), slices))
-        .dropDuplicates([*e, "slice", "event_id"])
     )
+    for tail in files:
+        halo = halo.unionByName(tail)
+    halo = halo.dropDuplicates([*e, "slice", "event_id"])
     # the halo of slice k must not contain rows of slice k itself; rows_before is per slice
     before = slices.select(*e, "slice", F.col("rows_before").alias("rb")).distinct()
     halo = halo.drop("rows_before").join(before, [*e, "slice"]).withColumnRenamed("rb", "rows_before")

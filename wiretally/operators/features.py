@@ -222,7 +222,7 @@ def vectors(
     if flush_ts is None and params.flush_at == "global":
         flush_ts = flows.agg(F.max("ts_us")).first()[0]
 
-    ev = entity_events(flows, params, hot_entities(flows, params))
+    ev = entity_events(flows, params, hot_entities(flows, params), "pcap_references" in extras)
     keys = list(ev.keys)
     needs = _needs(compute)
     timed = with_timing(ev, set(compute) | set(extras))

@@ -12,7 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wiretally.operators import drift
+from wiretally.operators import calibration, drift
 from wiretally.params import DEFAULT, Params
 
 
@@ -63,7 +63,9 @@ def train(train_rows: DataFrame, validation: DataFrame, features: list[str], ver
     val = base.transform(validation.select(*features, F.col("label").cast("double").alias("label"))).select(
         vector_to_array("probability")[1].alias("_raw"), "label"
     )
-    iso = IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="_cal").fit(val)
+    # the pooled blocks stand for all rows: the driver sees their ends, not the validation split
+    points = calibration.ends(calibration.blocks(val, "_raw")).withColumnRenamed("score", "_raw")
+    iso = IsotonicRegression(featuresCol="_raw", labelCol="label", weightCol="weight", predictionCol="_cal").fit(points)
     return TreeModel(version, base, iso)
 
 

@@ -61,7 +61,7 @@ def with_timing(ev: EntityEvents, wants: set[str]) -> DataFrame:
     if "pcap_references" in wants:
         seen = Window.partitionBy(*keys, "pcap_reference").orderBy("ts_us", "event_id")
         fresh = F.col("pcap_reference").isNotNull() & (F.row_number().over(seen) == 1)
-        rows = rows.withColumn("_fresh", fresh).withColumn(
+        rows = rows.withColumn("_fresh", F.col("fresh") if ev.sliced else fresh).withColumn(
             "_pi", F.sum(F.when(F.col("_fresh"), 1).otherwise(0)).over(running)
         )
         wp = Window.partitionBy(*keys).orderBy("_pi").rangeBetween(-7, 0)

@@ -373,6 +373,19 @@ def newest_lists(spark, sf):
         part(reports.benchmark_list(timed), "benchmarks", "benchmark_id"))
 
 
+@query("M14", f"""WITH p AS (SELECT round(l_extendedprice / 1000) AS x, count(*) AS n, count(*) FILTER (WHERE l_quantity > 25) AS y FROM lineitem GROUP BY x),
+c AS (SELECT *, sum(n) OVER w AS cn, sum(y) OVER w AS cy FROM p WINDOW w AS (ORDER BY x)),
+lo AS (SELECT i.x, j.x AS start, min((k.cy - j.cy + j.y) / (k.cn - j.cn + j.n)) AS m FROM c i JOIN c j ON j.x <= i.x JOIN c k ON k.x >= i.x GROUP BY ALL),
+f AS (SELECT x, max(m) AS m FROM lo GROUP BY x)
+SELECT min(x) AS low, max(x) AS high, CAST(sum(n) AS DOUBLE) AS weight, {q.r6('m', 'mean')} FROM f JOIN p USING (x) GROUP BY m""")
+def calibration_blocks(spark, sf):
+    """Isotonic fit of large quantities on the price in thousands; the SQL is the max-min formula."""
+    from wiretally.operators import calibration
+
+    rows = table(spark, sf, "lineitem").select(F.round(F.col("l_extendedprice") / 1000).alias("score"), (F.col("l_quantity") > 25).cast("int").alias("label"))
+    return calibration.blocks(rows).select("low", "high", "weight", r6("mean"))
+
+
 @query("M13 M14 A11 A12")
 def boosted_name_model(spark, sf):
     """Trees on the lexical features of the labelled names, calibrated, evaluated per split."""

@@ -9,7 +9,7 @@ from wiretally.operators import emission
 from wiretally.operators.entities import entity_events
 from wiretally.params import DEFAULT
 from wiretally.plans.catalog import sqltext as q
-from wiretally.plans.catalog.registry import query, r6
+from wiretally.plans.catalog.registry import QUERIES, query, r6
 from wiretally.sources.event_flows import read_flows
 
 KEY = ["entity_kind", "entity_id", "ts_us", "read"]
@@ -199,6 +199,13 @@ def payload_and_duration_stability(spark, sf):
     return _rounded(_vectors(spark, sf, _stability, coarse=True), _stability)
 
 
+@query("P8 W1 W7 W8", QUERIES["payload_and_duration_stability"].sql)
+def sliced_payload_and_duration_stability(spark, sf):
+    """The same vectors with nearly every entity cut into slices."""
+    small = DEFAULT.with_(hot_rows=200, slice_rows=100)
+    return _rounded(_vectors(spark, sf, _stability, small, coarse=True), _stability)
+
+
 _context = ["is_internal_source", "is_internal_destination", "destination_rarity"]
 
 
