@@ -78,6 +78,21 @@ def _vectors(triples: np.ndarray, dim: int) -> np.ndarray:
     return twice[at[:, 0]] * once[at[:, 1]] * base[at[:, 2]]
 
 
+def _bundles(row: np.ndarray, number: np.ndarray, triples: np.ndarray, rows: int, dim: int) -> np.ndarray:
+    """Sums of gram vectors by row. Grams are bound in blocks, so memory does not grow with the alphabet:
+    a block holds at most 2**22 counts and 4,096 vectors. Sums are whole numbers and exact."""
+    out = np.zeros((rows, dim), np.float32 if len(number) < 1 << 24 else np.float64)
+    width = int(max(64, min(4096, (1 << 22) // max(1, rows))))
+    order = np.argsort(number, kind="stable") if len(triples) > width else np.arange(len(number))
+    row, number = row[order].astype(np.int64), number[order]
+    cuts = np.searchsorted(number, np.arange(0, len(triples) + width, width)) if len(triples) > width else [0, len(number)]
+    for lo, hi, start in zip(cuts[:-1], cuts[1:], range(0, len(triples), width)):
+        n = min(width, len(triples) - start)
+        counts = np.bincount(row[lo:hi] * n + number[lo:hi] - start, minlength=rows * n).reshape(rows, n)
+        out += counts.astype(out.dtype) @ _vectors(triples[start: start + n], dim).astype(out.dtype)
+    return out
+
+
 def train(docs: DataFrame, dim: int = DIM, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Unit prototypes by language, from every row with text and language.
 
@@ -94,10 +109,8 @@ def train(docs: DataFrame, dim: int = DIM, text: str = "text", lang: str = "lang
                 if not len(number):
                     continue
                 names, row = np.unique(langs, return_inverse=True)
-                n = len(triples)
-                counts = np.bincount(row[at].astype(np.int64) * n + number, minlength=len(names) * n)
-                total = counts.reshape(len(names), n).astype(np.float64) @ _vectors(triples, dim).astype(np.float64)
-                for name, v in zip(names.tolist(), total):
+                total = _bundles(row[at], number, triples, len(names), dim)
+                for name, v in zip(names.tolist(), total.astype(np.float64)):
                     sums[name] = sums.get(name, 0) + v
         if sums:
             yield pa.RecordBatch.from_arrays(
@@ -115,7 +128,8 @@ def train(docs: DataFrame, dim: int = DIM, text: str = "text", lang: str = "lang
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
     """Adds `lang_pred` and `score` (cosine of the best prototype, 0 to 1). `und` and 0 for a null
-    text, a text without a letter, or when no prototype exists. Ties go to the first name."""
+    text, a text without a letter, or when no prototype exists. Ties go to the first name. Texts are read whole,
+    a batch of about CHUNK bytes or one longer text at a time."""
     names = list(prototypes)
     table = np.stack(list(prototypes.values())).astype(np.float32) if names else None
     schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
@@ -130,13 +144,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                 pred, best = ["und"] * len(part), np.zeros(len(part))
                 at, number, triples = _grams([t.replace("\0", " ") for t in texts(part, text)])
                 if len(number) and names:
-                    n = len(triples)
-                    counts = np.bincount(at.astype(np.int64) * n + number, minlength=len(part) * n).reshape(len(part), n)
-                    own = counts.astype(np.float32) @ _vectors(triples, table.shape[1]).astype(np.float32)
+                    own = _bundles(at, number, triples, len(part), table.shape[1])
                     size = np.linalg.norm(own, axis=1)
                     cos = (own @ table.T) / np.maximum(size, 1e-9)[:, None]
                     win = cos.argmax(axis=1)
-                    lettered = counts.any(axis=1)
+                    lettered = np.bincount(at, minlength=len(part)) > 0
                     best = np.where(lettered, np.clip(cos[np.arange(len(part)), win], 0, 1), 0.0)
                     pred = [names[w] if ok else "und" for w, ok in zip(win.tolist(), lettered.tolist())]
                 arrays = [*part.columns, pa.array(pred, pa.string()), pa.array(best.astype(np.float64))]
