@@ -124,7 +124,8 @@ def mix(docs: DataFrame, weigh=cycling, most: int = MOST, seed: int = SEED, size
 
 
 def take_mix(docs: DataFrame, weigh=cycling, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """Documents with at least one copy, all their columns and `copies` (how often to read them)."""
+    """Documents with at least one copy, all their columns and `copies` (how often to read them), which
+    replaces an input column of that name."""
     picked = mix(docs, weigh, most, seed).filter("copies > 0").select(
         F.col("doc_id").alias("__llm_id"), F.col("key").alias("__llm_k"), F.col("source").alias("__llm_src"), F.col("copies").alias("__llm_copies")).distinct()
     keyed = docs.withColumn("__llm_key", text_key())

@@ -23,7 +23,7 @@ KEY = "replace-this-key"
 # What an entity looks like -------------------------------------------
 MALE = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Señorita|Госпожа|Κυρία"
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[0-9A-Za-z])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
@@ -189,7 +189,9 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """`docs` with surrogates in `text`, and `n_entities` (mentions replaced, long; null text: 0).
 
     Null and empty texts stay as they are, and so does every character outside a mention. All other
-    columns and repeated rows stay; equal rows are replaced alike. `key` must be kept secret."""
+    columns and repeated rows stay, but for an input column n_entities, which the new one replaces;
+    equal rows are replaced alike. An address has at most 64 characters before its @, so long
+    unbroken runs are read in time proportional to their length. `key` must be kept secret."""
     docs = docs.drop("n_entities")
     found = F.coalesce(F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1)), F.array().cast("array<string>"))
     holders = docs.select("doc_id", text_key(text).alias("__llm_key"), F.explode(entities(F.array_distinct(found))).alias("e"))

@@ -265,7 +265,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFra
     """`docs` without the text, with n_bytes (UTF-8) and n_tokens of every whole text, null as empty.
 
     `tokenizer` is the path of a byte-level BPE file (.json); the driver reads it, tasks get its
-    contents (as large as the file). Repeated rows count alike; other columns stay."""
+    contents (as large as the file). Repeated rows count alike; other columns stay, but
+    for input columns n_bytes and n_tokens, which the new ones replace."""
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
     model = json.loads(spec)
