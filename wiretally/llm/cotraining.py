@@ -20,9 +20,9 @@ from wiretally.llm.common import text_key, texts, written
 
 WORDS = 128
 #: The models are fitted on at most this many labelled rows, those with the least hashes; and each
-#: view hands over this many documents of either label per round.
+#: view hands over one text of either label per round for so many of them.
 MAX_LABELLED = 20_000
-HANDED = 500
+LABELLED_PER_HANDED = 8
 ROUNDS = 3
 _MARKS = "!?*#$%&|<>{}[]@"
 
@@ -133,23 +133,30 @@ def _grids(rows: DataFrame, *more: str):
     return grid("said"), grid("page"), *[got.column(c).to_numpy() for c in more]
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS, handed: int = HANDED, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS, handed: int | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, p_text, p_page, score, keep) for every row of `docs`; probabilities of a good document.
 
     A null text counts as empty, null metadata as values of their own. Documents with several labels
     take part with their mean, rounded. Without labelled documents of both kinds nothing can be
-    learned: the score is their share of good ones, 0.5 if there are none. `keep` is score >= 0.5."""
+    learned: the score is their share of good ones, 0.5 if there are none. With few labels the models
+    learn from all of them where the three tenths set apart for calibration would leave one kind only.
+    A view hands over different texts, however often each is repeated: the most confident ones, as
+    many as `handed` says (one for each LABELLED_PER_HANDED rows fitted on). `keep` is score >= 0.5."""
     told = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.round(F.avg(F.col(label).cast("double"))).cast("int").alias("y"))
     feats = written(features(docs).join(told, "doc_id", "left"), "views")  # the only shuffle of features
     rows = written(feats.filter("y is not null").orderBy("h", "key").limit(max_labelled), "labelled")
     said, page, y, h = _grids(rows, "y", "h")
     prior = float(y.mean()) if len(y) else 0.5
     free = feats.filter("y is null")
-    if len(y) < 20 or y.min() == y.max():
+    both = lambda v: len(v) > 0 and v.min() != v.max()
+    if not both(y):
         flat = F.lit(prior)
         return feats.select("doc_id", flat.alias("p_text"), flat.alias("p_page"), flat.alias("score"), (flat >= 0.5).alias("keep"))
     apart = np.arange(len(y)) % 10 < 3  # rows are in hash order
     held = [said[apart], page[apart], y[apart]]
+    if not both(y[~apart]):
+        apart = np.zeros(len(y), bool)
+    handed = handed or -(-len(y) // LABELLED_PER_HANDED)
     sets = {"said": [said[~apart], y[~apart]], "page": [page[~apart], y[~apart]]}
     models = {v: fit(*sets[v]) for v in sets}
     given: set[tuple] = set()
@@ -160,8 +167,12 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds:
         fresh = 0
         for view, other in (("said", "page"), ("page", "said")):
             for sign, value in ((1, 1), (-1, 0)):
-                most = scored.filter(F.col(f"z_{view}") * sign > 2).orderBy(F.desc(F.col(f"z_{view}") * sign), "h", "key").limit(handed)
-                s, p, hs = _grids(most, "h")
+                # each text once, by its most confident row; only keys and logits are shuffled
+                sure = scored.select("key", "h", (F.col(f"z_{view}") * sign).alias("z")).filter("z > 2")
+                different = sure.groupBy("key").agg(F.max(F.struct("z", "h")).alias("m")).select("key", "m.z", "m.h")
+                most = F.broadcast(different.orderBy(F.desc("z"), "key").limit(handed).drop("z"))  # at most `handed` rows
+                rows = scored.join(most, ["key", "h"]).dropDuplicates(["key", "h"]).orderBy("h", "key")
+                s, p, hs = _grids(rows, "key")
                 new = [i for i, k in enumerate(hs.tolist()) if (other, k) not in given]
                 given |= {(other, hs[i]) for i in new}
                 x = (s if other == "said" else p)[new] if new else None
@@ -172,7 +183,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds:
             break
         models = {v: fit(*sets[v]) for v in sets}
     z = [logits(held[0], models["said"]), logits(held[1], models["page"])]
-    line = [fit(v[:, None], held[2], ridge=1e-2) for v in z] if held[2].min() != held[2].max() else [np.array([1.0, 0.0])] * 2
+    line = [fit(v[:, None], held[2], ridge=1e-2) for v in z] if both(held[2]) else [np.array([1.0, 0.0])] * 2
     tuned = [v * w[0] + w[1] for v, w in zip(z, line)]
     base = float(np.log(prior / (1 - prior)))
     calm = [line[0][0], line[0][1], line[1][0], line[1][1]]
