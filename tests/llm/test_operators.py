@@ -159,9 +159,11 @@ def brute_containment(table, items):
     grams = lambda t: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.findall(r"\w+", (t or "").lower())) else set()
     out = set()
     for d in table:
-        g = grams(d[1])
+        words = re.findall(r"\w+", (d[1] or "").lower())
         for i, text in items:
             q = grams(text)
+            k = min([len(x) for x in q], default=5)  # a short item's words are looked for as they are
+            g = grams(d[1]) if k == 5 else {tuple(words[j:j + k]) for j in range(len(words) - k + 1)}
             if q and len(q & g) >= int(np.ceil(0.8 * len(q) - 1e-9)):
                 out.add((d[0], i, len(q), len(q & g)))
     return sorted(out, key=str)
@@ -170,13 +172,16 @@ def brute_containment(table, items):
 def test_contamination(spark, sf_dir, docs, table, empty):
     bench = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     cut = " ".join(bench[0][1].split()[:-3])  # most of an item
-    items = bench + [(500, None), (501, ""), (502, "WORD!"), (503, "three four, five; one two three"), (504, table[2][1]), (505, bench[1][1].upper()), (505, bench[1][1].upper())]
-    more = table + [(9100, "Start " + bench[0][1] + " end", "en", "s", 1), (9101, cut, "en", "s", 1), (9102, "x " + " ".join(bench[0][1].split()[:12]), "en", "s", 1)]
+    items = bench + [(500, None), (501, ""), (502, "WORD!"), (503, "three four, five; one two three"), (504, table[2][1]), (505, bench[1][1].upper()), (505, bench[1][1].upper()),
+             (506, "Zebra quagga"), (507, bench[2][1]), (507, bench[3][1] + " with further words behind it"), (None, bench[4][1]), (None, "okapi kudu nyala")]
+    more = table + [(9100, "Start " + bench[0][1] + " end", "en", "s", 1), (9101, cut, "en", "s", 1), (9102, "x " + " ".join(bench[0][1].split()[:12]), "en", "s", 1),
+            (9103, "a zebra, quagga and " + bench[2][1], "en", "s", 1), (9104, "zebra and quagga", "en", "s", 1), (9105, "Okapi Kudu Nyala", "en", "s", 1), (9106, bench[4][1] + " okapi", "en", "s", 1)]
     df = spark.createDataFrame(more, SCHEMA).withColumn("key", F.lit(1))
     bf = spark.createDataFrame(items, "item_id long, text string")
     got = rows_of(contamination.containment(df, bf).select("doc_id", "item_id", "item_shingles", "found").distinct())
     want = brute_containment(more, items)
     assert got == want and {(9100, 0), (9101, 0)} <= {x[:2] for x in got} and (9102, 0) not in {x[:2] for x in got}
+    assert {(9103, 506), (9103, 507), (9105, None), (9106, None)} <= {x[:2] for x in got} and not [x for x in got if x[0] == 9104]
     bad = {(x[0]) for x in want}
     assert rows_of(contamination.drop_contaminated(df, bf).select("doc_id")) == sorted(((t[0],) for t in more if t[0] not in bad), key=str)
     assert contamination.containment(empty, bf).count() == 0 and contamination.containment(df, bf.limit(0)).count() == 0
@@ -324,6 +329,33 @@ def test_cotraining(spark, sf_dir, docs, table, empty):
     assert np.mean([got[i]["keep"] == bool(y) for i, y in told.items()]) > 0.93
     assert cotraining.classify(docs, labels.limit(0)).agg(F.min("score"), F.max("score"), F.count("*")).first()[:] == (0.5, 0.5, len(table))
     assert cotraining.classify(empty, labels).count() == 0
+    few = labels.filter("doc_id < 12").unionByName(labels.filter("quality = 0").limit(2)).distinct()
+    assert cotraining.classify(big, few).select("score").distinct().count() > 1  # a handful of both kinds is enough
+
+
+def test_cotraining_hands_over_different_texts(spark, monkeypatch):
+    good = [(i, f"Calm plain sentence number {i} about rivers and hills.", "en", "a", 50) for i in range(30)]
+    bad = [(100 + i, f"BUY!!! ### {i} $$$ NOW NOW NOW !!!", "en", "b", 30) for i in range(30)]
+    copies = [(200 + i, "BUY!!! ### $$$ NOW NOW NOW NOW !!! $$$", "en", "b", 30) for i in range(200)]
+    more = [(500 + i, f"BUY!!! ### {i} $$$ CHEAP NOW NOW !!!", "en", "b", 30) for i in range(40)]
+    docs = spark.createDataFrame(good + bad + copies + more, SCHEMA)
+    labels = spark.createDataFrame([(r[0], int(r[0] < 100)) for r in good + bad], "doc_id long, quality int")
+    seen, fit = [], cotraining.fit
+    monkeypatch.setattr(cotraining, "fit", lambda x, y, **kw: seen.append((x.shape, len(y))) or fit(x, y, **kw))
+    got = {r["doc_id"]: r["keep"] for r in cotraining.classify(docs, labels, rounds=2, handed=10).collect()}
+    assert not any(got[i] for i in range(200, 400)) and all(got[i] for i in range(30))
+    first, second = seen[0][1], seen[2][1]
+    assert first + 1 < second <= first + 20  # not ten copies of one text, of either label at most ten
+
+
+def brute_random(text, base, model, least):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        off = [i for i in range(m.start(), m.end()) if not any(a <= i < b for _, a, b in base)]
+        v = secrets.steps(model, m.group())
+        if off and v.mean() >= least and np.mean([v[i - m.start()] for i in off]) >= least:
+            out.append(("random", m.start(), m.end()))
+    return out
 
 
 def test_secrets(docs, table, empty):
@@ -345,6 +377,13 @@ def test_secrets(docs, table, empty):
         assert [x for x in got[i]["spans"].split(",") if x and not x.startswith("random")] == [f"{k}:{a}:{b}" for k, a, b in base]
         assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == tuple(sum(x[0] == k for x in base) for k in ("assign", "access", "hex"))
     assert got[9404]["spans"] == "random:4:29" and got[9405]["spans"] == ""
+    model = secrets.train(df)
+    least = secrets.threshold(df, model)
+    for r in rows:
+        base = secrets.base_spans(r[1] or "")
+        assert secrets.random_spans(r[1] or "", base, model, least) == brute_random(r[1] or "", base, model, least)
+    key = "Zk3vR8qLw2" + "0123456789abcdef" + "XyT9bNc4Mf"
+    assert ("random", 2, 2 + len(key)) in secrets.random_spans("a " + key, secrets.base_spans("a " + key), model, least)
     assert secrets.digest(secrets.scan(empty)).count() == 0
 
 
@@ -353,8 +392,13 @@ def test_secret_model_tells_random_strings_from_identifiers(docs):
     letters = list(secrets.ALPHABET[:62])
     random = ["".join(rng.choice(letters, 24)) for _ in range(200)]
     plain = [w for t in docs.limit(60).collect() for w in re.findall(r"[A-Za-z]{8,}", t["text"] or "")][:200]
-    assert np.mean([secrets.ratio(model, s) > secrets.LEAST_RATIO for s in random]) > 0.97
-    assert np.mean([secrets.ratio(model, s) > secrets.LEAST_RATIO for s in plain]) < 0.1
+    least = secrets.threshold(docs, model)
+    assert np.mean([secrets.ratio(model, s) >= least for s in random]) > 0.97
+    assert np.mean([secrets.ratio(model, s) >= least for s in plain]) < 0.1
+    alone = ["".join(rng.choice(letters[:52], 20)) for _ in range(200)]  # without a digit
+    assert np.mean([secrets.ratio(model, s) >= least for s in alone]) > 0.95
+    names = ["getUserAccountById", "ConnectionPoolManager", "maximum_number_of_items", "internationalization", "src/main/resources/config"]
+    assert not [s for s in names if secrets.ratio(model, s) >= least]
 
 
 def brute_quality(t):
@@ -374,3 +418,22 @@ def test_quality(docs, table, empty, monkeypatch, bits):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     assert rows_of(got.select("doc_id", *names)) == sorted(((t[0], *brute_quality(t[1])) for t in table), key=str)
     assert got.filter("base_failed AND kept").count() == 0 and quality.judge(empty).count() == 0
+
+
+def test_long_unbroken_runs_are_read_in_linear_time(spark):
+    runs = ["x" * 1_000_000, "7" * 1_000_000, "a." * 500_000, "x-" * 500_000 + "@", "...john.doe@mail.example.com " + "y" * 1_000_000]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(runs)], SCHEMA)
+    got = {r["doc_id"]: r for r in surrogates.replace(df, "k").collect()}
+    assert [got[i]["n_entities"] for i in range(5)] == [0, 0, 0, 0, 1]
+    assert all(got[i]["text"] == runs[i] for i in range(4)) and got[4]["text"].startswith("...") and "john" not in got[4]["text"]
+
+
+def test_language_bundles_do_not_depend_on_blocks():
+    rng = np.random.default_rng(3)
+    batch = ["".join(map(chr, rng.integers(0x4E00, 0x5E00, n))) for n in (3000, 0, 9000)] + ["plain words"]
+    at, number, triples = language._grams(batch)
+    assert len(triples) > 4096
+    counts = np.zeros((4, len(triples)), np.int64)
+    np.add.at(counts, (at, number), 1)
+    want = counts @ language._vectors(triples, 64).astype(np.int64)
+    assert (language._bundles(at, number, triples, 4, 64) == want).all()
