@@ -75,9 +75,10 @@ def blocks(rows: DataFrame, score: str = "score", label: str = "label", ranges:
     cut = cut.select(F.spark_partition_id().cast("long").alias("part"), "low", F.col("low").alias("high"), "weight", "total")
     # written: the ranges must not be drawn again when an executor is lost
     pooled = materialise(cut.mapInArrow(_pool_range, _SCHEMA), "calibration")
-    while ranges > 1:
+    last = pooled.agg(F.max("part")).first()[0] or 0
+    while last > 0:
         pooled = pooled.groupBy(F.expr(f"part div {FAN}")).applyInArrow(_pool_neighbours, _SCHEMA)
-        ranges = -(-ranges // FAN)
+        last //= FAN
     return pooled.select("low", "high", "weight", (F.col("total") / F.col("weight")).alias("mean"))
 
 
