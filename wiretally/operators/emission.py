@@ -32,21 +32,18 @@ NEVER = -(1 << 62)
 def greedy_points(rows: DataFrame, keys: list[str], step: int, sliced: bool = False, fold: int = FOLD, span: int = SPAN) -> DataFrame:
     """First event always emits; the next is the first one at least `step` later.
 
-    A gap of `step` or more always restarts the chain, so the chain is followed inside runs of closer
-    events only. A run of up to `fold` events is one ordered fold. A longer one, of an entity that is never
-    quiet, is cut into pieces of time; see `piece_entries`."""
-    order = Window.partitionBy(*keys).orderBy("ts_us")
-    gap = F.col("ts_us") - F.lag("ts_us").over(order)
-    runs = rows.withColumn("_new", F.when(gap.isNull() | (gap >= step), 1).otherwise(0))
-    runs = runs.withColumn("_run", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    runs = runs.withColumn("_length", F.count("*").over(Window.partitionBy(*keys, "_run")))
+    Entities with more than `fold` rows are cut into pieces of time, see `piece_entries`; nothing is ordered over
+    the whole of one. The chain of a smaller entity is one ordered fold. Slices of entities cut elsewhere
+    are followed in runs: a gap of `step` or more always restarts the chain, so it is followed inside runs
+    of closer events only, and a run above `fold` goes by pieces."""
     if sliced:
-        entity = [k for k in keys if k != "slice"]
-        hot = rows.join(rows.select(*keys).filter("slice > 0").select(*entity).distinct(), entity, "left_semi")
-        runs = runs.join(piece_entries(hot, entity, "slice", step), keys, "left")
-        runs = runs.withColumn("entry", F.when(F.col("_run") == 1, F.col("entry")))
+        runs = _runs(rows, keys, step)
     else:
-        runs = runs.withColumn("entry", F.lit(None).cast("bigint"))
+        busy = materialise(rows.groupBy(*keys).count().filter(F.col("count") > fold).select(*keys), "busy")
+        names = busy.count()  # rows / fold at most
+        few = F.broadcast(busy) if names <= 10_000 else busy
+        runs = (rows.join(few, keys, "left_anti") if names else rows).withColumns({
+            "_run": F.lit(0).cast("bigint"), "_length": F.lit(0).cast("bigint"), "entry": F.lit(None).cast("bigint")})
     short = runs.filter(F.col("_length") <= fold).groupBy(*keys, "_run").agg(
         F.sort_array(F.collect_set("ts_us")).alias("ts"), F.max("entry").alias("entry")
     )
@@ -61,8 +58,27 @@ def greedy_points(rows: DataFrame, keys: list[str], step: int, sliced: bool = Fa
         ).otherwise(acc),
         lambda acc: acc["out"],
     )
-    return short.select(*keys, F.explode(folded).alias("ts_us")).unionByName(
-        _piecewise(runs.filter(F.col("_length") > fold), keys, step, span))
+    folded_points = short.select(*keys, F.explode(folded).alias("ts_us"))
+    if sliced:
+        long = runs.filter(F.col("_length") > fold)
+    elif names:
+        long = rows.join(few, keys, "left_semi").withColumns({"_run": F.lit(0).cast("bigint"), "entry": F.lit(None).cast("bigint")})
+    else:
+        return folded_points
+    return folded_points.unionByName(_piecewise(long, keys, step, span))
+
+
+def _runs(rows: DataFrame, keys: list[str], step: int) -> DataFrame:
+    """Rows of slices with their run, its length and, in the first run, the time at which the slice may first emit."""
+    order = Window.partitionBy(*keys).orderBy("ts_us")
+    gap = F.col("ts_us") - F.lag("ts_us").over(order)
+    runs = rows.withColumn("_new", F.when(gap.isNull() | (gap >= step), 1).otherwise(0))
+    runs = runs.withColumn("_run", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    runs = runs.withColumn("_length", F.count("*").over(Window.partitionBy(*keys, "_run")))
+    entity = [k for k in keys if k != "slice"]
+    hot = rows.join(rows.select(*keys).filter("slice > 0").select(*entity).distinct(), entity, "left_semi")
+    runs = runs.join(piece_entries(hot, entity, "slice", step), keys, "left")
+    return runs.withColumn("entry", F.when(F.col("_run") == 1, F.col("entry")))
 
 
 def _piecewise(runs: DataFrame, keys: list[str], step: int, span: int) -> DataFrame:
