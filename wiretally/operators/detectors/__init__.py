@@ -2,7 +2,7 @@
 
 from wiretally.operators.detectors.base import Detector, Verdict
 from wiretally.operators.detectors.mesh import (
-    DETECTORS, detect, detector_states, needed_features, rule_detectors,
+    DETECTORS, detect, detector_states, kinds_of, needed_features, rule_detectors,
 )
 
-__all__ = ["DETECTORS", "Detector", "Verdict", "detect", "detector_states", "needed_features", "rule_detectors"]
+__all__ = ["DETECTORS", "Detector", "Verdict", "detect", "detector_states", "kinds_of", "needed_features", "rule_detectors"]

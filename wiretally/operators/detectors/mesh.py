@@ -53,6 +53,11 @@ def needed_features(detectors=DETECTORS) -> list[str]:
     return list(dict.fromkeys(n for d in detectors for n in d.features))
 
 
+def kinds_of(detectors=DETECTORS) -> tuple[str, ...]:
+    """Kinds of entities whose vectors the detectors look at."""
+    return tuple(sorted({k for d in detectors for k in d.kinds}))
+
+
 def detector_states(champions: dict[str, object] | None = None) -> dict[str, str]:
     """READY or UNAVAILABLE per detector; a supervised one needs a champion model."""
     have = champions or {}

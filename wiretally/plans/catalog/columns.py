@@ -183,7 +183,7 @@ SELECT t.entity_id AS host, t.read AS event_id, lx.dns_domain_length, lx.dns_cha
  {q.r6(q.ratio('u_name_60', 'v_dns_60', '1.0'), 'dns_unique_name_ratio_60s')}, {q.r6(q.ratio('v_txt_60', 'v_dns_60', '1.0'), 'dns_txt_ratio_60s')}
 FROM tot t JOIN dq ON dq.event_id = t.read JOIN lx ON lx.event_id = t.read""")
 def dns_query_vectors(spark, sf):
-    v = ft.vectors(read_flows(spark, sf), DEFAULT.with_(flush_at="none"), ["flow_count_1s"], protocol=True, dns_sizes=(60,))
+    v = ft.vectors(read_flows(spark, sf), DEFAULT.with_(flush_at="none"), ["flow_count_1s"], protocol=True, dns_sizes=(60,), kinds=("HOST",))
     d = ft.dns_vectors(v)
     names = (
         "dns_domain_length", "dns_char_entropy", "dns_hex_ratio", "dns_payload_length", "dns_subdomain_depth", "dns_is_txt",
@@ -204,7 +204,7 @@ SELECT event_id, {q.r6('v_out + v_in', 'tls_session_bytes')}, {q.r6('v_packets',
 {q.r6('rarity', 'destination_rarity')}, {q.r6('cv', 'interarrival_cv')},
 {q.r6('CASE WHEN n > 0 THEN greatest(0, 1 - least(1, cv)) * least(1, n / 6.0) ELSE 0 END', 'periodicity_score')} FROM t""")
 def tls_handshake_vectors(spark, sf):
-    v = ft.vectors(read_flows(spark, sf, True), DEFAULT.with_(flush_at="none"), ["flow_count_1s"], protocol=True, dns_sizes=(60,))
+    v = ft.vectors(read_flows(spark, sf, True), DEFAULT.with_(flush_at="none"), ["flow_count_1s"], protocol=True, dns_sizes=(60,), kinds=("PAIR",))
     names = (
         "tls_session_bytes", "tls_session_packets", "tls_session_duration", "tls_mean_packet_size", "tls_orig_resp_byte_ratio",
         "tls_cert_validity_days", "tls_self_signed", "tls_sni_length", "destination_rarity", "interarrival_cv", "periodicity_score",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wiretally.functions import stats
 from wiretally.operators import features as ft
 from wiretally.operators import fusion
-from wiretally.operators.detectors import DETECTORS, detect, needed_features
+from wiretally.operators.detectors import DETECTORS, detect, kinds_of, needed_features
 from wiretally.operators.models import LinearModel
 from wiretally.params import DEFAULT
 from wiretally.plans.catalog import sqltext as q
@@ -35,7 +35,7 @@ _BY_NAME = {d.name: d for d in DETECTORS}
 def _results(spark, sf, name, coarse=False, champions=None, challengers=None):
     d = _BY_NAME[name]
     params = LOW if name == "exfiltration" or d.source == "windowed" else LOW.with_(flush_at="none")
-    v = ft.vectors(read_flows(spark, sf, coarse), params, needed_features((d,)), protocol=d.source != "windowed", dns_sizes=(60,))
+    v = ft.vectors(read_flows(spark, sf, coarse), params, needed_features((d,)), protocol=d.source != "windowed", dns_sizes=(60,), kinds=kinds_of((d,)))
     return detect(v, params, (d,), champions, challengers)
 
 
@@ -268,7 +268,7 @@ def detector_fault_isolation(spark, sf):
     picked = (recon, replace(recon, name="raises", evaluate=broken(raises)), replace(recon, name="unplanned", evaluate=broken(F.col("no_such_column"))), _BY_NAME["dga"])
     names = needed_features((recon, _BY_NAME["dga"]))
     params = LOW
-    reads = materialise(ft.vectors(read_flows(spark, sf), params, names, protocol=True, dns_sizes=(60,)), "features")
+    reads = materialise(ft.vectors(read_flows(spark, sf), params, names, protocol=True, dns_sizes=(60,), kinds=kinds_of(picked)), "features")
     model = guard.PythonModel("1", _logistic, ("dns_char_entropy", "dns_digit_ratio", "dns_vowel_ratio", "dns_payload_length"))
     found = guard.detect_guarded(reads, params, picked, {"dga": model})
     spoken = found.results.groupBy("detector_name").agg(F.count("*").alias("n")).select("detector_name", F.lit("result").alias("stage"), F.lit("").alias("error"), "n")
@@ -405,7 +405,7 @@ SELECT threat_class, count(*) FILTER (WHERE st = 1) AS alerts, count(*) AS resul
 @query("P8 W1 W2 D1 D2 D9 U2 W13 X5 A9", _slice_sql())
 def flood_and_scan_alerts(spark, sf):
     picked = (_BY_NAME["ddos"], _BY_NAME["recon"])
-    v = ft.vectors(read_flows(spark, sf), LOW, needed_features(picked), protocol=False)
+    v = ft.vectors(read_flows(spark, sf), LOW, needed_features(picked), protocol=False, kinds=kinds_of(picked))
     results = materialise(detect(v, LOW, picked), "results")
     a = fusion.fold_repeats(results.withColumn("fused_confidence", F.col("confidence")).filter("confidence >= 0.5"))
     return a.groupBy("threat_class").agg(

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from wiretally.operators import features as ft
-from wiretally.operators.detectors import DETECTORS, detect, needed_features
+from wiretally.operators.detectors import DETECTORS, detect, kinds_of, needed_features
 from wiretally.operators.fusion import Fused, fuse
 from wiretally.params import DEFAULT, Params
 from wiretally.sources.storage import materialise
@@ -39,7 +39,7 @@ def run_detection(
     protocol = any(d.source != "windowed" for d in detectors)
     reads = ft.vectors(
         flows, params, names, protocol=protocol, extras=("flow_ids",) if flow_ids else (),
-        flush_ts=flush_ts, dns_sizes=(60,),
+        flush_ts=flush_ts, dns_sizes=(60,), kinds=kinds_of(detectors),
     )
     if materialised:
         reads = materialise(reads, "features")
