@@ -83,10 +83,17 @@ def payload_of(x: Column) -> Column:
 
 def dns_lexical(x: Column) -> dict[str, Column]:
     """The 14 lexical features of one validated name, as named columns."""
-    parts = labels_of(x)
-    n = F.size(parts)
+    return lexical_of(x, **name_parts(x))
+
+
+def name_parts(x: Column) -> dict[str, Column]:
+    """What most lexical features share; as columns of their own they are built once for a row."""
     payload = payload_of(x)
-    body = F.when(payload == "", x).otherwise(payload)
+    return {"parts": labels_of(x), "payload": payload, "body": F.when(payload == "", x).otherwise(payload)}
+
+
+def lexical_of(x: Column, parts: Column, payload: Column, body: Column) -> dict[str, Column]:
+    n = F.size(parts)
     suffix = F.aggregate(
         F.slice(parts, F.greatest(F.lit(1), n - 1), F.lit(2)), F.lit(0), lambda a, p: a + F.length(p)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiretally.functions.text import dns_lexical
+from wiretally.functions.text import lexical_of, name_parts
 from wiretally.operators.ranks import global_rank
 
 
@@ -53,8 +53,9 @@ def name_dataset(names: DataFrame, holdout_family: str | None = None) -> DataFra
         unseen = distinct.filter(held).withColumn("split", F.lit("unseen_family"))
         benign = parts.filter("split = 'test' and label = 0").withColumn("split", F.lit("unseen_family"))
         parts = parts.unionByName(unseen).unionByName(benign)
-    lex = dns_lexical(F.col("domain"))
-    return parts.select("domain", "label", "family", "split", *[c.alias(n) for n, c in lex.items()])
+    shared = name_parts(F.col("domain"))
+    lex = lexical_of(F.col("domain"), **{n: F.col(f"_{n}") for n in shared})
+    return parts.withColumns({f"_{n}": c for n, c in shared.items()}).select("domain", "label", "family", "split", *[c.alias(n) for n, c in lex.items()])
 
 
 def feedback_dataset(feedback: DataFrame, alerts: DataFrame, detector: str, features: list[str], min_rows: int = 20) -> DataFrame:

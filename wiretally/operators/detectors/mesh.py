@@ -75,7 +75,8 @@ def _inline(df: DataFrame, picked, params: Params, vec_rank, kinds: bool, flow_i
         vec_rank.alias("vec_rank"),
     ]
     found = df.select(*base, F.array_compact(F.array(*[d.result(params) for d in picked])).alias("found"))
-    return found.select(*[c for c in found.columns if c != "found"], F.inline("found"))
+    # `inline` would let Spark put "found is not empty" below the vectors, with every column written out wherever it is used
+    return found.select(*[c for c in found.columns if c != "found"], F.inline_outer("found")).filter(F.col("detector_name").isNotNull())
 
 
 def detect(
