@@ -20,7 +20,7 @@ def emission_points(ev: EntityEvents) -> DataFrame:
         return own.groupBy(*keys, F.expr(f"ts_us div {step}").alias("_tick")).agg(
             F.max("ts_us").alias("ts_us")
         ).drop("_tick")
-    return greedy_points(own.select(*keys, "ts_us"), keys, step, ev.sliced)
+    return greedy_points(own.select(*keys, "ts_us"), keys, step, ev.sliced, parts=ev.parts)
 
 
 FOLD = 4096  # longest run of close events that one ordered fold follows
@@ -29,13 +29,14 @@ FAN = 64  # pieces whose step functions are composed at a time
 NEVER = -(1 << 62)
 
 
-def greedy_points(rows: DataFrame, keys: list[str], step: int, sliced: bool = False, fold: int = FOLD, span: int = SPAN) -> DataFrame:
+def greedy_points(rows: DataFrame, keys: list[str], step: int, sliced: bool = False, fold: int = FOLD, span: int = SPAN, parts: int | None = None) -> DataFrame:
     """First event always emits; the next is the first one at least `step` later.
 
     Entities with more than `fold` rows are cut into pieces of time, see `piece_entries`; nothing is ordered over
     the whole of one. The chain of a smaller entity is one ordered fold. Slices of entities cut elsewhere
     are followed in runs: a gap of `step` or more always restarts the chain, so it is followed inside runs
-    of closer events only, and a run above `fold` goes by pieces."""
+    of closer events only, and a run above `fold` goes by pieces. `parts` is the number of parts that the rows lie in by their keys:
+    all emissions are then dealt alike, so that what they are merged with need not be shuffled again."""
     if sliced:
         runs = _runs(rows, keys, step)
     else:
@@ -65,7 +66,11 @@ def greedy_points(rows: DataFrame, keys: list[str], step: int, sliced: bool = Fa
         long = rows.join(few, keys, "left_semi").withColumns({"_run": F.lit(0).cast("bigint"), "entry": F.lit(None).cast("bigint")})
     else:
         return folded_points
-    return folded_points.unionByName(_piecewise(long, keys, step, span))
+    points = _piecewise(long, keys, step, span)
+    if parts is None:
+        return folded_points.unionByName(points)
+    placed = folded_points.repartition(parts, *keys) if sliced or names > 10_000 else folded_points
+    return placed.unionByName(points.repartition(parts, *keys))
 
 
 def _runs(rows: DataFrame, keys: list[str], step: int) -> DataFrame:
@@ -178,4 +183,5 @@ def flush_points(ev: EntityEvents, flush_ts: int | None) -> DataFrame:
         )
     if ev.params.flush_at == "global":
         last = last.withColumn("ts_us", F.lit(flush_ts).cast("bigint"))
-    return last.select(*ev.keys, "ts_us")
+    last = last.select(*ev.keys, "ts_us")
+    return last.repartition(ev.parts, *ev.keys) if ev.sliced else last  # dealt as the rows are
