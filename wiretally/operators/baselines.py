@@ -62,8 +62,9 @@ def _folded(rows: DataFrame, keys: list[str], order: Window, metrics: list[str],
     return rows.withColumns({f"_pv_{m}": F.lag(f"_s_{m}").over(order) for m in metrics})
 
 
-def with_baselines(vectors: DataFrame, metrics: list[str], params: Params = DEFAULT) -> DataFrame:
-    """Adds `_zscore`, `_baseline_mean`, `_baseline_p95`, `_baseline_warm` per metric.
+def with_baselines(vectors: DataFrame, metrics: list[str], params: Params = DEFAULT, names=None) -> DataFrame:
+    """Adds `_zscore`, `_baseline_mean`, `_baseline_p95`, `_baseline_warm` per metric; of the
+    95th percentiles, which look at many values for every row, only those in `names` if it is given.
 
     Only windowed rows (window_seconds > 0) belong to the series; a protocol row is a series of
     its own, so a busy resolver's queries are never gathered."""
@@ -73,13 +74,16 @@ def with_baselines(vectors: DataFrame, metrics: list[str], params: Params = DEFA
     order = Window.partitionBy(*keys).orderBy("ts_us", "read")
     rows = _folded(vectors.withColumn("_sid", own), keys, order, metrics, params)
     recent = order.rowsBetween(-params.baseline_reservoir, -1)
-    rows = rows.withColumns({f"_l_{m}": F.collect_list(m).over(recent) for m in metrics})
+    ranked = [m for m in metrics if names is None or f"{m}_baseline_p95" in names]
+    rows = rows.withColumns({f"_l_{m}": F.sort_array(F.collect_list(m).over(recent)) for m in ranked})
     warm = series & (F.col("_rn") - 1 >= params.baseline_min_observations)
     out = {}
     for m in metrics:
         mean = F.col(f"_c_{m}") + F.col(f"_pm_{m}")
         sd = F.sqrt(F.greatest(F.lit(0.0), F.col(f"_pv_{m}")))
-        out |= comparison(m, mean, sd, quantile_of(F.col(f"_l_{m}"), 0.95), warm)
+        p95 = quantile_of_sorted(F.col(f"_l_{m}"), 0.95) if m in ranked else F.lit(None).cast("double")
+        found = comparison(m, mean, sd, p95, warm)
+        out |= found if m in ranked else {n: c for n, c in found.items() if not n.endswith("_p95")}
     return rows.select(*vectors.columns, *[c.alias(n) for n, c in out.items()])
 
 
@@ -91,7 +95,11 @@ def comparison(metric: str, mean: Column, sd: Column, p95: Column, warm: Column)
 
 def quantile_of(values: Column, q: float) -> Column:
     """Linear-interpolation quantile of an array."""
-    s = F.sort_array(values)
+    return quantile_of_sorted(F.sort_array(values), q)
+
+
+def quantile_of_sorted(values: Column, q: float) -> Column:
+    s = values
     pos = (F.size(values) - 1) * F.lit(q)
     low = F.floor(pos).cast("int")
     high = F.least(low + 1, F.size(values) - 1)

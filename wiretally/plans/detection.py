@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wiretally.operators import features as ft
 from wiretally.operators.detectors import DETECTORS, detect, kinds_of, needed_features
@@ -33,14 +34,19 @@ def run_detection(
     materialised: bool = True,
 ) -> Detection:
     """`materialised` writes features and detector results once to the shared folder: detectors
-    and fusion read them several times, and both are tables the store keeps anyway."""
+    and fusion read them several times, and both are tables the store keeps anyway. Entities of each kind get the
+    features that the detectors of that kind look at; those of other kinds are null."""
     tune(flows.sparkSession)
-    names = needed_features(detectors)
-    protocol = any(d.source != "windowed" for d in detectors)
-    reads = ft.vectors(
-        flows, params, names, protocol=protocol, extras=("flow_ids",) if flow_ids else (),
-        flush_ts=flush_ts, dns_sizes=(60,), kinds=kinds_of(detectors),
-    )
+    if flush_ts is None and params.flush_at == "global":
+        flush_ts = flows.agg(F.max("ts_us")).first()[0]
+    reads = None
+    for kind in kinds_of(detectors):
+        picked = [d for d in detectors if kind in d.kinds]
+        own = ft.vectors(
+            flows, params, needed_features(picked), protocol=any(d.source != "windowed" for d in picked),
+            extras=("flow_ids",) if flow_ids else (), flush_ts=flush_ts, dns_sizes=(60,), kinds=(kind,),
+        )
+        reads = own if reads is None else reads.unionByName(own, allowMissingColumns=True)
     if materialised:
         reads = materialise(reads, "features")
     results = detect(reads, params, detectors, champions, challengers)
