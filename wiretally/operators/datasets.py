@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wiretally.functions.text import lexical_of, name_parts
 from wiretally.operators.ranks import global_rank
+from wiretally.sources.storage import materialise
 
 
 def _split_of(rank, n):
@@ -46,7 +47,8 @@ def name_dataset(names: DataFrame, holdout_family: str | None = None) -> DataFra
     can sit on both sides of a split; the held-out family becomes `unseen_family` and is scored
     against the benign test names."""
     first = F.min(F.struct("label", "family"))  # of one row, so the two belong together
-    distinct = names.groupBy("domain").agg(first.alias("f")).select("domain", "f.label", "f.family")
+    # written: splits and their sizes read the names several times, and each time would read all that they come from
+    distinct = materialise(names.groupBy("domain").agg(first.alias("f")).select("domain", "f.label", "f.family"), "names")
     held = (F.col("family") == holdout_family) & (F.col("label") == 1) if holdout_family else F.lit(False)
     parts = stratified_split(distinct.filter(~held), ["label", "family"], "domain")
     if holdout_family:

@@ -11,6 +11,7 @@ from wiretally.params import DEFAULT
 from wiretally.plans.catalog import sqltext as q
 from wiretally.plans.catalog.records import _FEEDBACK_SQL, feedback_of
 from wiretally.plans.catalog.registry import query, r6, table
+from wiretally.sources.storage import materialise
 
 _COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 _LONG = "li AS (" + " UNION ALL ".join(
@@ -389,7 +390,8 @@ def calibration_blocks(spark, sf):
 @query("M13 M14 A11 A12")
 def boosted_name_model(spark, sf):
     """Trees on the lexical features of the labelled names, calibrated, evaluated per split."""
-    d = datasets.name_dataset(_names(spark, sf), "de")
+    # written: training reads its rows several times, and each time their features would be built again
+    d = materialise(datasets.name_dataset(_names(spark, sf), "de"), "name-dataset")
     feats = list(DNS_LEXICAL_FEATURES)
     model = models.train(d.filter("split = 'train'"), d.filter("split = 'validation'"), feats, "1", max_iter=10)
     scored = model.score(d.filter("split in ('test', 'unseen_family')"), "score")
