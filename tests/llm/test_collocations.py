@@ -91,6 +91,15 @@ def test_stripes_hold_prefix_totals(spark):
         assert (len(whole) > 3) == (total == 42)
 
 
+def test_stripes_are_packed(spark):
+    df = spark.createDataFrame([(1, "a b. a b, a c a", "en", "s", 1)], SCHEMA)
+    every = np.full(1 << 10, 2**64 - 1, np.uint64)
+    got = collocations.stripes(df, 2, every, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    assert dict(got.dtypes)["next"] == "binary" and dict(got.dtypes)["n"] == "array<int>"
+    by = {bytes(r["prefix"]): dict(zip(bytes(r["next"]).split(b" "), r["n"])) for r in got.collect()}
+    assert by == {b"a": {b"b": 2, b"c": 1, b"": 1}, b"b": {b"": 2}, b"c": {b"a": 1}}
+
+
 def test_products_beyond_64_bits(spark):
     big = 9_000_000_000_000
     make = lambda rows, s: spark.createDataFrame(rows, s)
