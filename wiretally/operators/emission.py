@@ -13,14 +13,14 @@ from wiretally.sources.storage import materialise
 
 def emission_points(ev: EntityEvents) -> DataFrame:
     """(keys, ts_us) at which each entity emits a vector."""
-    p, keys = ev.params, list(ev.keys)
-    own = ev.narrow.filter(~F.col("halo"))
+    p, e = ev.params, ["entity_kind", "entity_id"]
     step = int(p.emit_interval * 1_000_000)
     if p.emission == "tick":
-        return own.groupBy(*keys, F.expr(f"ts_us div {step}").alias("_tick")).agg(
-            F.max("ts_us").alias("ts_us")
-        ).drop("_tick")
-    return greedy_points(own.select(*keys, "ts_us"), keys, step, ev.sliced, parts=ev.parts)
+        points = ev.own.groupBy(*e, F.expr(f"ts_us div {step}").alias("_tick")).agg(F.max("ts_us").alias("ts_us")).drop("_tick")
+    else:
+        # a busy entity goes by pieces of time anyhow, so its chain is not followed from slice to slice
+        points = greedy_points(ev.own.select(*e, "ts_us"), e, step, parts=None if ev.sliced else ev.parts)
+    return ev.placed(points).repartition(ev.parts, *ev.keys) if ev.sliced else points
 
 
 FOLD = 4096  # longest run of close events that one ordered fold follows
@@ -174,13 +174,7 @@ def piece_entries(rows: DataFrame, group: list[str], piece: str, step: int, star
 
 def flush_points(ev: EntityEvents, flush_ts: int | None) -> DataFrame:
     """One closing read per entity: at the global end, or at the entity's own last event."""
-    own = ev.narrow.filter(~F.col("halo"))
-    if not ev.sliced:
-        last = own.groupBy(*ev.keys).agg(F.max("ts_us").alias("ts_us"))
-    else:
-        last = own.groupBy("entity_kind", "entity_id").agg(
-            F.max("slice").alias("slice"), F.max("ts_us").alias("ts_us")
-        )
+    last = ev.placed(ev.own.groupBy("entity_kind", "entity_id").agg(F.max("ts_us").alias("ts_us")))
     if ev.params.flush_at == "global":
         last = last.withColumn("ts_us", F.lit(flush_ts).cast("bigint"))
     last = last.select(*ev.keys, "ts_us")

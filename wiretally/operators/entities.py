@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wiretally.functions import net
 from wiretally.params import Params
+from wiretally.sources.storage import materialise
 
 TAIL = 64
 
@@ -85,6 +86,7 @@ def hot_entities(flows: DataFrame, params: Params, kinds: tuple[str, ...] | None
         .filter(F.col("count") > params.hot_rows)
         .select("entity_kind", "entity_id")
     )
+    hot = materialise(hot, "hot")
     return None if hot.isEmpty() else hot
 
 
@@ -96,7 +98,9 @@ def partitions(flows: DataFrame, kinds: tuple[str, ...] | None = None) -> int:
 
 @dataclass
 class EntityEvents:
-    """`rows` carries everything, `narrow` only addresses, keys and time; same partitioning into `parts`."""
+    """`rows` carries everything, `narrow` only addresses, keys and time; same partitioning into `parts`.
+
+    `own` are the entities' rows without halo, not cut into slices; `slices` says which slice a hot entity's bucket is in."""
 
     rows: DataFrame
     narrow: DataFrame
@@ -104,6 +108,17 @@ class EntityEvents:
     sliced: bool
     params: Params
     parts: int
+    own: DataFrame
+    slices: DataFrame | None = None
+
+    def placed(self, points: DataFrame) -> DataFrame:
+        """Points (entity, ts_us) of the entities' own events with the slice that they fall into."""
+        if not self.sliced:
+            return points
+        width = max(self.params.sizes) * 1_000_000
+        of = self.slices.select("entity_kind", "entity_id", "bucket", "slice")
+        found = points.withColumn("bucket", F.expr(f"ts_us div {width}")).join(_small(of), ["entity_kind", "entity_id", "bucket"], "left")
+        return found.select("entity_kind", "entity_id", F.coalesce("slice", F.lit(0)).cast("bigint").alias("slice"), "ts_us")
 
 
 def slice_map(hot_rows: DataFrame, params: Params) -> DataFrame:
@@ -131,20 +146,19 @@ def _tails(rows: DataFrame, value_filter, slices: DataFrame) -> DataFrame:
     e = ("entity_kind", "entity_id")
     payload = [c for c in rows.columns if c not in (*e, "slice", "rows_before", "halo")]
     inside = Window.partitionBy(*e, "slice").orderBy(F.desc("ts_us"), F.desc("event_id"))
+    upto = Window.partitionBy(*e).orderBy("slice", "ts_us", "event_id").rowsBetween(-(TAIL - 1), 0)
     tail = (
         rows.filter(value_filter)
         .withColumn("_r", F.row_number().over(inside))
         .filter(F.col("_r") <= TAIL)
-        .groupBy(*e, "slice")
-        .agg(F.sort_array(F.collect_list(F.struct("ts_us", "event_id", *[c for c in payload if c not in ("ts_us", "event_id")]))).alias("tail"))
+        .withColumn("tail", F.collect_list(F.struct(*payload)).over(upto))
+        .filter(F.col("_r") == 1).select(*e, "slice", "tail")
     )
-    order = Window.partitionBy(*e).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*e).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         slices.select(*e, "slice", "rows_before").distinct()
         .join(tail, [*e, "slice"], "left")
-        .withColumn("parts", F.collect_list("tail").over(order))
-        .withColumn("flat", F.flatten("parts"))
-        .withColumn("last", F.slice("flat", F.greatest(F.lit(1), F.size("flat") - TAIL + 1), F.lit(TAIL)))
+        .withColumn("last", F.last("tail", ignorenulls=True).over(before))
     )
     return carried.select(*e, "slice", "rows_before", F.inline("last")).select(
         *e, "slice", "rows_before", *payload, F.lit(True).alias("halo")
@@ -162,8 +176,18 @@ def with_first_captures(rows: DataFrame) -> DataFrame:
     return rows.join(first, [*e, "event_id"], "left").fillna(False, ["fresh"])
 
 
-def entity_events(flows: DataFrame, params: Params, hot: DataFrame | None, captures: bool = False, kinds: tuple[str, ...] | None = None) -> EntityEvents:
-    """Entity rows partitioned by their keys; `captures` asks for what lists of capture files need.
+@dataclass(frozen=True)
+class Reach:
+    """What vectors look at: the columns of an event (None: all), seconds back, and kinds of its last rows
+    (`rows`, `durations`, `arrivals`, `captures`)."""
+
+    columns: frozenset[str] | None = None
+    seconds: int | None = None
+    tails: frozenset[str] = frozenset({"rows", "durations", "arrivals"})
+
+
+def entity_events(flows: DataFrame, params: Params, hot: DataFrame | None, reach: Reach = Reach(), kinds: tuple[str, ...] | None = None) -> EntityEvents:
+    """Entity rows partitioned by their keys; `reach` limits them to what is asked for.
 
     The statistics of an event, the keys it counts towards and the times at which an entity
     reports are three scans of the same rows, each shuffled with only its own columns."""
@@ -174,42 +198,58 @@ def entity_events(flows: DataFrame, params: Params, hot: DataFrame | None, captu
         placed = entity_rows(base, kinds).withColumn("halo", F.lit(False)).repartition(n, *keys)
         contacts = Window.partitionBy(*keys, "src_ip", "dst_ip").orderBy("ts_us", "event_id")
         rows = placed.withColumn("rarity", _rarity(F.row_number().over(contacts)))
-        return EntityEvents(rows, placed, keys, False, params, n)
+        return EntityEvents(rows, placed, keys, False, params, n, placed)
 
-    rows = entity_rows(with_rarity(base), kinds)
-    if captures:
-        rows = with_first_captures(rows)
     e = ["entity_kind", "entity_id"]
+    if reach.columns is None:
+        rows = entity_rows(with_rarity(base), kinds)
+    else:
+        rows = entity_rows(base, kinds).select(*e, *sorted(reach.columns | {"ts_us", "event_id"}))
+    if "captures" in reach.tails:
+        rows = with_first_captures(rows)
     width = max(params.sizes) * 1_000_000
-    hot_rows = entity_rows(flows.select("ts_us", "src_ip", "dst_ip"), kinds).join(hot, e, "left_semi")
-    slices = slice_map(hot_rows, params)
-    mapped = rows.withColumn("bucket", F.expr(f"ts_us div {width}")).join(slices, [*e, "bucket"], "left")
+    times = entity_rows(flows.select("ts_us", "src_ip", "dst_ip"), kinds).select(*e, "ts_us")
+    hot_rows = times.join(_small(hot), e, "left_semi")
+    slices = materialise(slice_map(hot_rows, params), "slices")  # an entity's buckets, few beside its rows
+    mapped = rows.withColumn("bucket", F.expr(f"ts_us div {width}")).join(_small(slices), [*e, "bucket"], "left")
     base = mapped.withColumn("halo", F.lit(False))
-    tagged = base.filter(F.col("slice").isNotNull())
-    window_halo = tagged.filter(
-        (F.col("next_slice") > F.col("slice")) & (F.col("next_bucket") == F.col("bucket") + 1)
-    ).withColumn("slice", F.col("next_slice")).withColumn("halo", F.lit(True))
     drop = ("bucket", "next_slice", "next_bucket")
+    tagged = base.filter(F.col("slice").isNotNull())
     plain = tagged.drop(*drop)
-    arrivals = Window.partitionBy(*e, "ts_us").orderBy("event_id")
-    first_of_ts = plain.withColumn("_f", F.row_number().over(arrivals)).filter("_f = 1").drop("_f")
-    files = [_tails(plain, F.col("fresh"), slices)] if captures else []
-    halo = (
-        window_halo.drop(*drop)
-        .unionByName(_tails(plain, F.lit(True), slices))
-        .unionByName(_tails(plain, F.col("duration").isNotNull(), slices))
-        .unionByName(_tails(first_of_ts, F.lit(True), slices))
-    )
-    for tail in files:
-        halo = halo.unionByName(tail)
-    halo = halo.dropDuplicates([*e, "slice", "event_id"])
-    # the halo of slice k must not contain rows of slice k itself; rows_before is per slice
-    before = slices.select(*e, "slice", F.col("rows_before").alias("rb")).distinct()
-    halo = halo.drop("rows_before").join(before, [*e, "slice"]).withColumnRenamed("rb", "rows_before")
-    rows = base.drop(*drop).unionByName(halo).withColumn("slice", F.coalesce("slice", F.lit(0)))
+    halos = []
+    seconds = max(params.sizes) if reach.seconds is None else reach.seconds
+    if seconds:
+        halos.append(tagged.filter(
+            (F.col("next_slice") > F.col("slice")) & (F.col("next_bucket") == F.col("bucket") + 1)
+            & (F.col("ts_us") >= F.col("next_bucket") * width - seconds * 1_000_000)
+        ).withColumn("slice", F.col("next_slice")).withColumn("halo", F.lit(True)).drop(*drop))
+    if "rows" in reach.tails:
+        halos.append(_tails(plain, F.lit(True), slices))
+    if "durations" in reach.tails:
+        halos.append(_tails(plain, F.col("duration").isNotNull(), slices))
+    if "arrivals" in reach.tails:
+        firsts = plain.groupBy(*e, "slice", "ts_us").agg(F.min_by(F.struct(*[c for c in plain.columns if c not in (*e, "slice", "ts_us")]), "event_id").alias("_f"))
+        halos.append(_tails(firsts.select(*e, "slice", "ts_us", "_f.*"), F.lit(True), slices))
+    if "captures" in reach.tails:
+        halos.append(_tails(plain, F.col("fresh"), slices))
+    rows = base.drop(*drop)
+    if halos:
+        halo = halos[0]
+        for more in halos[1:]:
+            halo = halo.unionByName(more)
+        if len(halos) > 1:
+            halo = halo.dropDuplicates([*e, "slice", "event_id"])
+        # the halo of slice k must not contain rows of slice k itself; rows_before is per slice
+        before = slices.select(*e, "slice", F.col("rows_before").alias("rb")).distinct()
+        rows = rows.unionByName(halo.drop("rows_before").join(_small(before, slices), [*e, "slice"]).withColumnRenamed("rb", "rows_before"))
     keys = ("entity_kind", "entity_id", "slice")
-    placed = rows.repartition(n, *keys)
-    return EntityEvents(placed, placed, keys, True, params, n)
+    placed = rows.withColumn("slice", F.coalesce("slice", F.lit(0))).repartition(n, *keys)
+    return EntityEvents(placed, placed, keys, True, params, n, times.repartition(n, *e), slices)
+
+
+def _small(table: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """A table that is sent to every task where it is small, so that what it is joined to need not be shuffled."""
+    return F.broadcast(table) if (table if counted is None else counted).count() <= 100_000 else table
 
 
 def _rarity(contact: Column) -> Column:

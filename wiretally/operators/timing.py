@@ -33,11 +33,10 @@ def with_timing(ev: EntityEvents, wants: set[str]) -> DataFrame:
         "event_count": count.cast("bigint"),
         "last_of_time": F.coalesce(F.lead("ts_us").over(order) > F.col("ts_us"), F.lit(True)),
         "_gap": F.when(gap > 0, gap / 1e6),
-        "_total": (F.col("v_out") + F.col("v_in")).cast("double"),
     })
     last64 = order.rowsBetween(-(TAIL - 1), 0)
     if wants & {"byte_stability_cv", "mean_flow_bytes"}:
-        rows = rows.withColumns({
+        rows = rows.withColumn("_total", (F.col("v_out") + F.col("v_in")).cast("double")).withColumns({
             "_bm": F.avg("_total").over(last64), "_bs": F.stddev_pop("_total").over(last64),
         })
     if wants & {"flow_ids"}:

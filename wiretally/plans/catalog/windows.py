@@ -15,8 +15,8 @@ from wiretally.sources.event_flows import read_flows
 KEY = ["entity_kind", "entity_id", "ts_us", "read"]
 
 
-def _vectors(spark, sf, names, params=DEFAULT, coarse=False, **kw):
-    return ft.vectors(read_flows(spark, sf, coarse), params, names, protocol=False, **kw)
+def _vectors(spark, sf, names, params=DEFAULT, coarse=False, facts=False):
+    return ft.vectors(read_flows(spark, sf, coarse), params, names, protocol=False, facts=facts)
 
 
 def _rounded(df, names, keys=KEY):
@@ -215,7 +215,7 @@ _context = ["is_internal_source", "is_internal_destination", "destination_rarity
     {q.r6("CASE WHEN read = 'flush' THEN 0 ELSE rarity END", 'destination_rarity')} FROM tv""",
     q.reads(), _TIMING_SQL, coarse=True))
 def destination_context(spark, sf):
-    return _rounded(_vectors(spark, sf, ["entity_event_count"], coarse=True), _context)
+    return _rounded(_vectors(spark, sf, ["entity_event_count"], coarse=True, facts=True), _context)
 
 
 @query("W16", _sql("SELECT entity_kind, entity_id, ts_us FROM walk", q.emission()))
