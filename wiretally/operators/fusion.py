@@ -36,8 +36,9 @@ def score_severity(threat_class: Column, hint: Column, corroborators: Column) ->
     return stats.severity_name(base + F.when(corroborators >= 2, 1).otherwise(0))
 
 
-def corroborate(results: DataFrame, params: Params = DEFAULT, names: tuple[str, ...] | None = None) -> DataFrame:
-    """Adds subject, number of other detectors in the look-back, and the fused confidence."""
+def corroborate(results: DataFrame, params: Params = DEFAULT, names: tuple[str, ...] | None = None, bucket_as: str | None = None) -> DataFrame:
+    """Adds subject, number of other detectors in the look-back, and the fused confidence; `bucket_as` keeps the bucket
+    that rows are dealt by with their subject."""
     names = names or tuple(d.name for d in DETECTORS)
     width = params.correlation_window * 1_000_000
     bucket = F.expr(f"ts_us div {width}")
@@ -45,12 +46,16 @@ def corroborate(results: DataFrame, params: Params = DEFAULT, names: tuple[str,
     spread = rows.select(
         *rows.columns, F.explode(F.array(F.lit(0), F.lit(1))).alias("_ahead")
     ).withColumn("_b", F.col("_b") + F.col("_ahead"))
+    # the copy that the next bucket looks back to is a detector and a time
+    told = [c for c in results.columns if c not in (*ORDER, "detector_name", "confidence")]
+    spread = spread.withColumns({c: F.when(F.col("_ahead") == 0, F.col(c)) for c in told})
     before = Window.partitionBy("subject", "_b").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     last = {n: F.max(F.when(F.col("detector_name") == n, F.col("ts_us"))).over(before) for n in names}
     hits = sum(
         F.when((F.col("detector_name") != n) & (t >= F.col("ts_us") - width), 1).otherwise(0) for n, t in last.items()
     )
-    out = spread.withColumn("corroborators", hits).filter("_ahead = 0").drop("_b", "_ahead")
+    out = spread.withColumn("corroborators", hits).filter("_ahead = 0").drop("_ahead")
+    out = out.withColumnRenamed("_b", bucket_as) if bucket_as else out.drop("_b")
     fused = F.least(F.lit(params.max_confidence), F.col("confidence") + params.corroboration_bonus * F.col("corroborators"))
     return out.withColumn("fused_confidence", fused)
 
@@ -73,15 +78,18 @@ def alert_id(params: Params) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", "detector_name", "threat_class", "entity_id", slot), 256), 1, 32)
 
 
-def window_context(alerts: DataFrame, fused: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Per alert: what else was said about its subject in the look-back, the alert included."""
+def window_context(alerts: DataFrame, fused: DataFrame, params: Params = DEFAULT, ids: bool = True) -> DataFrame:
+    """Per alert: what else was said about its subject in the look-back, the alert included; `fused` has its bucket in `_b`.
+
+    What an alert finds in a bucket is put together where the bucket's rows lie; only that is shuffled by alert. Without
+    `ids` the flow ids and capture files of the others are not gathered."""
     width = params.correlation_window * 1_000_000
     a = alerts.select(
         "alert_id", "subject", F.col("detector_name").alias("a_det"), F.col("threat_class").alias("a_class"),
         order_struct().alias("a_ord"), F.explode(F.array(F.expr(f"ts_us div {width}"), F.expr(f"ts_us div {width} - 1"))).alias("_b"),
     )
     r = fused.select(
-        "subject", F.expr(f"ts_us div {width}").alias("_b"), "detector_name", "detector_version", "model_version",
+        "subject", "_b", "detector_name", "detector_version", "model_version",
         "threat_class", "confidence", "severity_hint", order_struct().alias("ord"),
         F.slice("reason_codes", 1, 3).alias("codes"), "flow_ids", "pcap_references",
     )
@@ -94,9 +102,12 @@ def window_context(alerts: DataFrame, fused: DataFrame, params: Params = DEFAULT
         (-F.col("ord.ts_us")).alias("t"), (-F.col("ord.vec_rank")).alias("v"), (-F.col("ord.det_rank")).alias("d"),
         F.col("threat_class").alias("k"),
     )
-    per_detector = j.groupBy("alert_id", "detector_name", "threat_class").agg(
+    here = ["subject", "_b", "alert_id"]
+    per_detector = j.groupBy(*here, "detector_name", "threat_class").agg(
         F.max(best).alias("best"), F.bool_or(other).alias("other"),
-        F.max_by("confidence", "ord").alias("conf"), F.max("detector_version").alias("v"), F.max("model_version").alias("m"),
+        F.max(F.struct("ord", "confidence")).alias("last"), F.max("detector_version").alias("v"), F.max("model_version").alias("m"),
+    ).drop("subject", "_b").repartition("alert_id").groupBy("alert_id", "detector_name", "threat_class").agg(
+        F.max("best").alias("best"), F.bool_or("other").alias("other"), F.max("last")["confidence"].alias("conf"), F.max("v").alias("v"), F.max("m").alias("m"),
     )
     head = per_detector.groupBy("alert_id").agg(
         F.array_sort(F.collect_set("threat_class")).alias("classes"),
@@ -107,26 +118,33 @@ def window_context(alerts: DataFrame, fused: DataFrame, params: Params = DEFAULT
         F.max("best")["k"].alias("primary_threat_class"),
     )
     spoken = j.filter(other).select(
-        "alert_id", "ord", F.posexplode(F.transform("codes", lambda c: F.concat(F.upper("detector_name"), F.lit(":"), c))).alias("pos", "code")
+        *here, "ord", F.posexplode(F.transform("codes", lambda c: F.concat(F.upper("detector_name"), F.lit(":"), c))).alias("pos", "code")
     )
     codes = (
-        spoken.groupBy("alert_id", "code").agg(F.min(F.struct("ord", "pos")).alias("at"))
+        spoken.groupBy(*here, "code").agg(F.min(F.struct("ord", "pos")).alias("at")).drop("subject", "_b").repartition("alert_id")
+        .groupBy("alert_id", "code").agg(F.min("at").alias("at"))
         .groupBy("alert_id").agg(F.sort_array(F.collect_list(F.struct("at", "code"))).alias("c"))
         .select("alert_id", F.transform("c", lambda x: x["code"]).alias("other_codes"))
     )
-    ids = _first_ids(j.filter(other), "flow_ids", 128, "other_flow_ids")
-    caps = _first_ids(j.filter(other), "pcap_references", 16, "other_pcaps")
-    return head.join(codes, "alert_id", "left").join(ids, "alert_id", "left").join(caps, "alert_id", "left")
+    found = head.join(codes, "alert_id", "left")
+    if not ids:
+        none = F.lit(None).cast("array<string>")
+        return found.withColumns({"other_flow_ids": none, "other_pcaps": none})
+    flows = _first_ids(j.filter(other), here, "flow_ids", 128, "other_flow_ids")
+    caps = _first_ids(j.filter(other), here, "pcap_references", 16, "other_pcaps")
+    return found.join(flows, "alert_id", "left").join(caps, "alert_id", "left")
 
 
-def _first_ids(j: DataFrame, col: str, n: int, name: str) -> DataFrame:
-    """The first `n` distinct ids the corroborating results bring, in order of appearance."""
-    each = j.select("alert_id", "ord", F.posexplode(col).alias("pos", "id")).groupBy("alert_id", "id").agg(
-        F.min(F.struct("ord", "pos")).alias("at")
-    )
-    rank = F.row_number().over(Window.partitionBy("alert_id").orderBy("at"))
+def _first_ids(j: DataFrame, here: list[str], col: str, n: int, name: str) -> DataFrame:
+    """The first `n` distinct ids the corroborating results bring, in order of appearance: the first of every bucket, then of all."""
+    def first(rows: DataFrame, keys: list[str]) -> DataFrame:
+        each = rows.groupBy(*keys, "id").agg(F.min("at").alias("at"))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("at"))
+        return each.withColumn("_r", rank).filter(F.col("_r") <= n)
+
+    each = j.select(*here, "ord", F.posexplode(col).alias("pos", "id")).select(*here, F.struct("ord", "pos").alias("at"), "id")
     return (
-        each.withColumn("_r", rank).filter(F.col("_r") <= n)
+        first(first(each, here), ["alert_id"])
         .groupBy("alert_id").agg(F.sort_array(F.collect_list(F.struct("_r", "id"))).alias("l"))
         .select("alert_id", F.transform("l", lambda x: x["id"]).alias(name))
     )
@@ -140,11 +158,15 @@ class Fused:
     touches: DataFrame
 
 
-def fuse(results: DataFrame, params: Params = DEFAULT, run_id: str | None = None, names=None) -> Fused:
-    fused = corroborate(results, params, names)
+def fuse(results: DataFrame, params: Params = DEFAULT, run_id: str | None = None, names=None, ids: bool = True) -> Fused:
+    """Alerts and incidents. Without `ids`, evidence holds no flow ids and capture files, and none are carried."""
+    if not ids:
+        results = results.withColumns({c: F.array().cast("array<string>") for c in ("flow_ids", "pcap_references")})
+    bucketed = corroborate(results, params, names, "_b")
+    fused = bucketed.drop("_b")
     gated = fused.filter(F.col("fused_confidence") >= params.min_alert_confidence)
     first = fold_repeats(gated, params).withColumn("alert_id", alert_id(params))
-    context = window_context(first, fused, params)
+    context = window_context(first, bucketed, params, ids)
     a = first.join(context, "alert_id", "left")
     a = _with_sessions(a, fused, params)
 

@@ -310,8 +310,8 @@ def event_results(spark, sf):
     )
 
 
-def event_fusion(spark, sf, params=DEFAULT):
-    return fusion.fuse(event_results(spark, sf), params)
+def event_fusion(spark, sf, params=DEFAULT, ids=True):
+    return fusion.fuse(event_results(spark, sf), params, ids=ids)
 
 
 def results_sql() -> str:
@@ -388,7 +388,7 @@ CASE cls WHEN 'DDOS' THEN 'Flood toward ' WHEN 'RECON' THEN 'Scanning from ' WHE
  || src_ip || ': score=' || CAST(kk AS VARCHAR) || CASE WHEN len(other_classes) > 0 THEN ' (corroborated by ' || array_to_string(other_classes, ', ') || ')' ELSE '' END AS summary
 FROM alerts a LEFT JOIN evl USING (alert_id)""")
 def alert_evidence(spark, sf):
-    a = event_fusion(spark, sf).alerts
+    a = event_fusion(spark, sf, ids=False).alerts  # it shows no flow ids
     return a.select("alert_id", F.array_join("evidence.reason_codes", ",").alias("codes"), F.col("evidence.observations")["value"].alias("observed"),
                     F.col("evidence.baseline_comparisons")["value_threshold"].alias("threshold"), F.col("evidence.summary").alias("summary"))
 
